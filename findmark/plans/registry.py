@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from findmark.plans import core, judged, results
+
+MODULES = (core, judged, results)
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(core.ORACLES)
