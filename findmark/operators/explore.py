@@ -109,11 +109,16 @@ def finding_impact(index: DataFrame, findings: DataFrame, tier: str) -> DataFram
 
 def pair_error_table(records: DataFrame) -> DataFrame:
     """Ten rows per pair: the worst severity on each dimension and the reasoning of the first error of it."""
-    plain = lambda a, source: F.transform(a, lambda e, i: F.struct(e["dimension"].alias("dimension"), F.when(e["severity"] == "major", 0).otherwise(1).alias("rank"), F.lit(source).alias("source"), i.alias("pos"), e["severity"].alias("severity"), e["reasoning"].alias("reasoning")))
-    errors = F.concat(plain("structured_errors", 0), plain("text_errors", 1))
-    rows = records.select("series_uuid", "pred_id", "gt_id", errors.alias("errors"), F.explode(F.array(*map(F.lit, schema.DIMENSIONS))).alias("dimension"))
-    first = F.array_min(F.transform(F.filter("errors", lambda e: e["dimension"] == F.col("dimension")), lambda e: F.struct(e["rank"], e["source"], e["pos"], e["severity"].alias("severity"), e["reasoning"].alias("reasoning"))))
-    return rows.withColumn("first", first).select("series_uuid", "pred_id", "gt_id", "dimension", F.coalesce("first.severity", F.lit("clean")).alias("severity"), "first.reasoning")
+    rows = records.select("series_uuid", "pred_id", "gt_id", "structured_errors", "text_errors", F.explode(F.array(*map(F.lit, schema.DIMENSIONS))).alias("dimension"))
+
+    def first(errors: str, severity: str) -> Column:
+        own = F.filter(errors, lambda e: (e["dimension"] == F.col("dimension")) & (e["severity"] == severity))
+        return F.try_element_at(own, F.lit(1))["reasoning"]
+
+    of = lambda severity: F.coalesce(first("structured_errors", severity), first("text_errors", severity))
+    has = lambda severity: F.exists("structured_errors", lambda e: (e["dimension"] == F.col("dimension")) & (e["severity"] == severity)) | F.exists("text_errors", lambda e: (e["dimension"] == F.col("dimension")) & (e["severity"] == severity))
+    severity = F.when(has("major"), "major").when(has("minor"), "minor").otherwise("clean")
+    return rows.select("series_uuid", "pred_id", "gt_id", "dimension", severity.alias("severity"), F.when(has("major"), of("major")).otherwise(of("minor")).alias("reasoning"))
 
 
 def outcome_distribution(counts: DataFrame) -> DataFrame:

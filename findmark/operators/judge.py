@@ -158,7 +158,7 @@ def validate_matching(replies: DataFrame) -> DataFrame:
         F.flatten(F.transform(twice(full), lambda x: F.array_repeat(F.concat(F.lit("repeated pair: "), x), 1))),
     ]
     for side in ("pred", "gt"):
-        rows = rows.withColumn(f"free_{side}", F.transform(f"unmatched_{side}", text)).withColumn(f"in_{side}", F.array_compact(F.array_distinct(F.transform("pairs", lambda m: m[f"{side}_id"]))))
+        rows = rows.withColumn(f"free_{side}", F.transform(f"unmatched_{side}", lambda x: text(x))).withColumn(f"in_{side}", F.array_compact(F.array_distinct(F.transform("pairs", lambda m: m[f"{side}_id"]))))
         free = F.array_compact(f"free_{side}")
         named, ids = F.array_union(F.col(f"in_{side}"), free), F.coalesce(F.col(f"{side}_ids"), strings)
         errors += [

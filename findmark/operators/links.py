@@ -62,13 +62,17 @@ def match_components(matches: DataFrame, most_rounds: int = 40) -> DataFrame:
     edge = matches.select("series_uuid", F.concat(F.lit("p:"), "pred_id").alias("a"), F.concat(F.lit("g:"), "gt_id").alias("b")).distinct()
     both = stored(edge.union(edge.select("series_uuid", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy("series_uuid", F.col("a").alias("v")).agg(F.min("b").alias("m")).select("series_uuid", "v", F.least("v", "m").alias("root")), "labels")
-    for _ in range(most_rounds):
+
+    def spread(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select("series_uuid", F.col("v").alias("b"), "root"), ["series_uuid", "b"]).groupBy("series_uuid", F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        low = labels.join(near, ["series_uuid", "v"]).select("series_uuid", "v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        low = labels.join(near, ["series_uuid", "v"]).select("series_uuid", "v", "was", F.least("root", "near").alias("root"))
         jump = low.select("series_uuid", F.col("v").alias("root"), F.col("root").alias("next"))
-        moved = stored(low.join(jump, ["series_uuid", "root"], "left").select("series_uuid", "v", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        return low.join(jump, ["series_uuid", "root"], "left").select("series_uuid", "v", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
+
+    for _ in range(most_rounds):
+        moved = stored(spread(spread(labels.withColumn("was", F.col("root")))), "labels")
         labels = moved.select("series_uuid", "v", "root")
-        if not moved.where("root <> old").limit(1).count():
+        if moved.where("root <> was").isEmpty():
             break
     own = labels.select("series_uuid", F.substring("v", 3, 1 << 30).alias("pred_id"), F.col("root").alias("component")).where(F.col("v").startswith("p:"))
     return matches.join(own, ["series_uuid", "pred_id"])

@@ -124,8 +124,9 @@ def by_subset(records: DataFrame, orphans: DataFrame) -> tuple[DataFrame, DataFr
 def attribute_breakdown(records: DataFrame, keys: list[str] = []) -> DataFrame:
     """Each dimension's clean, minor and major records; of several errors on a dimension the worst counts."""
     dims = F.explode(F.array(*map(F.lit, schema.DIMENSIONS))).alias("dimension")
-    rows = records.select(*keys, F.concat(F.transform("structured_errors", lambda e: F.struct(e["dimension"], e["severity"])), F.transform("text_errors", lambda e: F.struct(e["dimension"], e["severity"]))).alias("errors"), dims)
-    on = lambda s: F.exists("errors", lambda e: (e["col1"] == F.col("dimension")) & (e["col2"] == s))
+    rows = records.select(*keys, "structured_errors", "text_errors", dims)
+    is_on = lambda c, s: F.exists(c, lambda e: (e["dimension"] == F.col("dimension")) & (e["severity"] == s))
+    on = lambda s: is_on("structured_errors", s) | is_on("text_errors", s)
     rows = rows.select(*keys, "dimension", F.when(on("major"), "major").when(on("minor"), "minor").otherwise("clean").alias("class"))
     count = lambda c: F.sum((F.col("class") == c).cast("long")).alias(c)
     out = rows.groupBy(*keys, "dimension").agg(count("clean"), count("minor"), count("major"), F.count("*").alias("evaluated"))

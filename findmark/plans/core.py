@@ -428,14 +428,16 @@ def _per_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.join(metrics.muc_counts(records, orphans, ["series_uuid"]), "series_uuid", "left").fillna(0, list(schema.OUTCOMES))
 
 
-@query(f"""{_scope_sql('subset')} SELECT {_R6_SQL}, COR, PAR, INC, MIS, SPU FROM rated JOIN muc USING (subset)""")
+@query(f"""{_scope_sql('subset')} SELECT x.*, COR, PAR, INC, MIS, SPU FROM (SELECT {_R6_SQL} FROM rated) x JOIN muc USING (subset)""")
 def subset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, orphans = metrics.by_subset(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir))
     return _rounded(metrics.tier_metrics(records, orphans, ["subset"])).join(metrics.muc_counts(records, orphans, ["subset"]), "subset")
 
 
-_BREAKDOWN_SQL = """breakdown AS (SELECT dimension, count(*) FILTER (c = 0) AS clean, count(*) FILTER (c = 1) AS minor, count(*) FILTER (c = 2) AS major, count(*) AS evaluated FROM (SELECT d.dimension, coalesce(max(CASE e.severity WHEN 'major' THEN 2 WHEN 'minor' THEN 1 END), 0) AS c
-  FROM records r CROSS JOIN (SELECT unnest([""" + ", ".join(repr(d) for d in schema.DIMENSIONS) + """]) AS dimension) d LEFT JOIN all_errors e ON e.series_uuid = r.series_uuid AND e.pred_id = r.pred_id AND e.gt_id = r.gt_id AND e.dimension = d.dimension GROUP BY r.series_uuid, r.pred_id, r.gt_id, d.dimension) GROUP BY 1)"""
+_DIMS = "(SELECT unnest([" + ", ".join(repr(d) for d in schema.DIMENSIONS) + "]) AS dimension)"
+_BREAKDOWN_SQL = f"""worst AS (SELECT series_uuid, pred_id, gt_id, dimension, bool_or(severity = 'major') AS major FROM all_errors GROUP BY 1, 2, 3, 4),
+breakdown AS (SELECT dimension, total - coalesce(n, 0) AS clean, coalesce(n - m, 0) AS minor, coalesce(m, 0) AS major, total AS evaluated FROM {_DIMS} d CROSS JOIN (SELECT count(*) AS total FROM records) t
+  LEFT JOIN (SELECT dimension, count(*) AS n, count(*) FILTER (major) AS m FROM worst GROUP BY 1) w USING (dimension))"""
 
 
 @query(f", {_BREAKDOWN_SQL} SELECT *, round(clean / evaluated, 6) AS clean_pct, round(minor / evaluated, 6) AS minor_pct, round(major / evaluated, 6) AS major_pct FROM breakdown")

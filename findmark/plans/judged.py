@@ -218,6 +218,7 @@ _SENTENCES = {
     "change": "CASE k % 7 WHEN 0 THEN 'New nodule, larger' WHEN 1 THEN 'Nodule has increased' WHEN 2 THEN 'Smaller effusion' WHEN 3 THEN 'Unchanged cyst' WHEN 4 THEN 'Effusion has cleared' WHEN 5 THEN 'stable but worse' ELSE 'Renewal of a cyst' END",
     "grade": "CASE ({x}) % 5 WHEN 0 THEN 'mild' WHEN 1 THEN 'moderate' WHEN 2 THEN 'severe' WHEN 3 THEN 'small' ELSE 'plain' END || ' change'",
     "certainty": "CASE ({x}) % 6 WHEN 0 THEN 'edema' WHEN 1 THEN 'probable edema' WHEN 2 THEN 'possible edema' WHEN 3 THEN 'less likely edema' WHEN 4 THEN 'no definite edema' ELSE 'no edema' END",
+    "findings": "'FINDINGS: Left cyst of 5 mm. No effusion of ' || CAST(k AS string) || '.' || chr(10) || 'IMPRESSION: Possible new mass'",
     "report": "CASE WHEN k % 4 = 0 THEN 'INDICATION: pain  in ' || name || chr(10) ELSE '' END || 'FINDINGS: Left cyst of 5 mm. No effusion of ' || name || '.' || chr(10) || 'IMPRESSION: Possible new mass'",
     "numbers": "'A ' || CAST(k % 50 AS string) || ' mm cyst, ' || CAST(s % 90 AS string) || '% stenosis and ' || CAST(s % 40 AS string) || '.5 Hounsfield units in 3 places'",
 }
@@ -235,7 +236,7 @@ def indication_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o::VARCHAR || '.' || n AS series_uuid, i AS pos, CASE i WHEN 0 THEN 'abnormal' WHEN 1 THEN 'normal' ELSE 'abnormal' END AS clinical_status, CASE i WHEN 0 THEN 'left' END AS laterality, CASE i WHEN 2 THEN 'new' END AS comparison, (i = 0)::INT AS n_measurements
   FROM base, (SELECT unnest([0, 1, 2])::INT AS i)""")
 def sentence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sentences(spark, sf_dir, text=_SENTENCES["report"].partition(" || ")[2]).select(F.concat_ws(".", "series_uuid", "pos").alias("series_uuid"), F.lit("gt").alias("side"), "text")
+    rows = _sentences(spark, sf_dir, text=_SENTENCES["findings"]).select(F.concat_ws(".", "series_uuid", "pos").alias("series_uuid"), F.lit("gt").alias("side"), "text")
     return matcher.sentence_findings(rows).select("series_uuid", "pos", "clinical_status", "laterality", "comparison", F.size("measurements").alias("n_measurements"))
 
 

@@ -288,8 +288,8 @@ def finding_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.finding_impact(E.match_index(*_records(spark, sf_dir)), X.both_sides(spark, sf_dir), "triage")
 
 
-@query("""SELECT r.series_uuid, r.pred_id, r.gt_id, d.dimension, CASE max(CASE e.severity WHEN 'major' THEN 2 WHEN 'minor' THEN 1 END) WHEN 2 THEN 'major' WHEN 1 THEN 'minor' ELSE 'clean' END AS severity FROM records r CROSS JOIN (SELECT unnest([""" + ", ".join(repr(d) for d in schema.DIMENSIONS) + """]) AS dimension) d
-  LEFT JOIN all_errors e ON e.series_uuid = r.series_uuid AND e.pred_id = r.pred_id AND e.gt_id = r.gt_id AND e.dimension = d.dimension GROUP BY 1, 2, 3, 4""")
+@query(f""", {core._BREAKDOWN_SQL} SELECT series_uuid, pred_id, gt_id, dimension, CASE WHEN major THEN 'major' WHEN major IS NOT NULL THEN 'minor' ELSE 'clean' END AS severity
+  FROM (SELECT series_uuid, pred_id, gt_id, dimension FROM records CROSS JOIN {core._DIMS}) LEFT JOIN worst USING (series_uuid, pred_id, gt_id, dimension)""")
 def pair_error_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pair_error_table(X.score_pairs(spark, sf_dir)).drop("reasoning")
 
