@@ -104,8 +104,11 @@ def weighted(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None]
 
 def sample(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the calibrated probabilities keep, with all their columns; a null id counts as empty."""
-    out = weighted(docs, margins)
-    return out.where(chance(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_probability")).select(*docs.columns)
+    margins = {"source": None, "lang": None, "_topic": None} if margins is None else margins
+    # the row goes along as one value, so columns of any name come back as they were
+    used = dict.fromkeys(["doc_id", "text", *(m for m in margins if m != "_topic")])
+    out = weighted(docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("_row")), margins)
+    return out.where(chance(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_probability")).select("_row.*")
 
 
 def oracle_sql(rounds: int) -> str:

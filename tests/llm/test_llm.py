@@ -220,6 +220,17 @@ def test_mixing_hits_targets(spark, odd):
     assert mixing.sample(odd.where("false")).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_id", "_cuts", "_row", "_m0", "_p", "_tokens", "_topic", "_probability", "_kept", "row"]
+    texts = ["one two three four five six", " ".join(f"w{i}" for i in range(90)), "x " + " ".join(f"w{i}" for i in range(90))]
+    df = spark.createDataFrame([(i, t, "en", "a", *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out in (mixing.sample(df), passages.remove_repeats(df), simhash.keep_one(df), langid.keep_known(df, langid.learn(df))):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert {r.doc_id: len(r.text.split()) for r in passages.remove_repeats(df).collect()} == {0: 6, 1: 90, 2: 1}
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = entries.op10_rank_order_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
