@@ -17,7 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts of texts kept in each of the two halves of a worker's cache.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 100_000
+#: Bytes of text that are cut and looked up at once; a longer text is taken alone.
+SLICE = 4 << 20
 #: Texts with these are cut by a slower pattern: white space beside white space or at an end, rare white space, \x01.
 _SLOW = "<[|]|  | \n|\n |\n\n|\n$|^ | $"
 _RARE = "[\t\r\x01\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -85,9 +87,19 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: two-byte ids of all texts one after another, and where each text's ids end; null is empty."""
-        if not len(texts):
-            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = np.flatnonzero(np.append(True, upto[1:] // SLICE != upto[:-1] // SLICE)) if len(texts) else np.zeros(0, np.int64)
+        all_ids, all_ends, total = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)], 0
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(texts)).tolist()):
+            ids, ends = self._encode(texts[a:b])
+            all_ids.append(ids)
+            all_ends.append(ends + total)
+            total += len(ids)
+        return np.concatenate(all_ids), np.concatenate(all_ends)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a slice without nulls."""
         fast = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
         cuts = pc.split_pattern(pc.replace_substring_regex(fast, rf"([{_LETTERS}])([.,;:!?#*$%&|<>])", "\\1\x01\\2"), "\x01")
         slow = pc.or_(pc.match_substring_regex(texts, _SLOW), pc.match_substring_regex(texts, _RARE)).to_numpy(zero_copy_only=False)
