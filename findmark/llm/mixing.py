@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, by DataFrame functions only.
 
 The documents' tokens are summed by cell (one value of each margin's column).  The cells are raked: round after round, each
-margin in turn scales its cells so that their sum by value is the target.  A document's probability is its cell's scale over
-the largest scale, so documents are dropped but never repeated, and a hash of the id decides.
+margin in turn scales its cells so that their sum by value is the target.  For a sample the targets are shares of a stated
+budget of tokens: values and cells that have less than their target are kept whole and the rest of the budget goes to the
+others, so a tail of tiny cells lowers no other cell's probability.  Without a budget a document's probability is its cell's
+scale over the largest scale.  Documents are dropped but never repeated, and a hash of the id decides.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ ROUNDS, MOST_ROUNDS, CLOSE = 8, 64, 1e-6
 TOPICS = (("table", r" \| "), ("symbols", r"[#*$%&]{3}"), ("numbers", r"[0-9]{4}"))
 #: A margin without targets of its own aims at shares like its own shares to this power: between equal and as they are.
 TEMPER = 0.7
+#: Share of all tokens that a sample is to keep.
+BUDGET = 0.5
 #: Cells that are sent to every task; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
 
@@ -45,13 +49,25 @@ def chance(doc_id: Column | str, seed: str = "mix") -> Column:
     return F.conv(hexes, 16, 10).cast("double") / float(16**12)
 
 
-def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, close: float = CLOSE) -> DataFrame:
+def _fill(table: DataFrame, own: str, wish: str, budget: float) -> float:
+    """The factor by which ``wish``, at most ``own`` in each row, sums to ``budget`` (or to all that it can)."""
+    room, factor = 1.0 + 1e-12, 0.0
+    while True:
+        full = F.col(wish) * F.lit(factor) >= F.col(own)
+        r = table.where(F.col(wish) > 0).agg(F.sum(F.when(full, F.col(own)).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col(wish))).alias("free")).first()
+        if not r["free"] or (budget - r["full"]) / r["free"] <= factor * room:
+            return factor
+        factor = (budget - r["full"]) / r["free"]
+
+
+def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, close: float = CLOSE, budget: float | None = None) -> DataFrame:
     """``cells(<margins>, tokens)`` with ``target_share`` (shares after raking) and ``scale`` (its ratio to the own share).
 
     Targets are shares by value and are normed over the values that have tokens; a value without a target gets none.
     ``None`` stands for tempered shares.  It ends when every margin is within ``close``, or after ``most_rounds``.  Cells
     are one row for each combination that occurs; they are kept in the shared folder between looks, and only sums reach
-    the driver.
+    the driver.  With a ``budget`` (a share of all tokens) shares sum to that and no scale is over 1: a value that has less
+    than its target has all of it as its target, as has a cell, and the other targets grow by one factor to fill the budget.
     """
     names = list(margins)
     table = stored(cells.where("tokens > 0").select(*names, "tokens"), "cells")
@@ -66,48 +82,57 @@ def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], ro
             kind = dict(values.dtypes)[m]
             wishes = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in margins[m].items()], f"`{m}` {kind}, wish double")
             values = values.join(wishes, m, "left").withColumn("wish", F.coalesce("wish", F.lit(0.0)))
-        norm = values.agg(F.sum("wish").alias("n")).first()["n"]
-        table = table.join(values.select(m, (F.col("wish") / F.lit(float(norm or 1))).alias(f"goal_{i}")), m)
+        if budget is None:
+            norm = values.agg(F.sum("wish").alias("n")).first()["n"]
+            goal = F.col("wish") / F.lit(float(norm or 1))
+        else:
+            values = stored(values, "values")
+            goal = F.least("own", F.col("wish") * F.lit(_fill(values, "own", "wish", budget)))
+        table = table.join(values.select(m, goal.alias(f"goal_{i}")), m)
     table = stored(table, "cells")
     at = [Window.partitionBy(m) for m in names]
     for _ in range(0, most_rounds, rounds):
         for _ in range(rounds):
             for i in range(len(names)):
                 held = F.sum("target_share").over(at[i])
-                table = table.withColumn("target_share", F.when(held > 0, F.col("target_share") * F.col(f"goal_{i}") / held).otherwise(0.0))
+                scaled = F.when(held > 0, F.col("target_share") * F.col(f"goal_{i}") / held).otherwise(0.0)
+                table = table.withColumn("target_share", scaled if budget is None else F.least("own_share", scaled))
         table = stored(table, "cells")
         gaps = [table.groupBy(m, f"goal_{i}").agg(F.sum("target_share").alias("s")).select(F.abs(F.col("s") - F.col(f"goal_{i}")).alias("gap")) for i, m in enumerate(names)]
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap").alias("gap")).first()["gap"]
         if worst is None or worst <= close:
             break
+    if budget is not None:
+        table = table.withColumn("target_share", F.least("own_share", F.col("target_share") * F.lit(_fill(table, "own_share", "target_share", budget))))
     return table.select(*names, "tokens", "target_share", (F.col("target_share") / F.col("own_share")).alias("scale"))
 
 
-def weighted(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None) -> DataFrame:
+def weighted(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, budget: float | None = None) -> DataFrame:
     """``docs`` with ``_topic``, ``_tokens`` and ``_probability``: what sampling needs, for every row.
 
     Margins are columns of ``docs`` or ``_topic``; by default source, language and topic.  A null value of a margin is a
-    value of its own, the empty string.  Documents without tokens have probability zero.
+    value of its own, the empty string.  Documents without tokens have probability zero.  With a ``budget`` that share of
+    the tokens is expected to stay; without one the cell of the largest scale has probability 1.
     """
     margins = {"source": None, "lang": None, "_topic": None} if margins is None else margins
     keys = [f"_m{i}" for i in range(len(margins))]
     plus = docs.withColumn("_topic", topic("text")).withColumn("_tokens", words("text"))
     plus = plus.select("*", *(F.coalesce(F.col(m).cast("string"), F.lit("")).alias(k) for k, m in zip(keys, margins)))
-    raked = rake(plus.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), dict(zip(keys, margins.values())))
+    raked = rake(plus.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), dict(zip(keys, margins.values())), budget=budget)
     size = raked.agg(F.count("*").alias("n"), F.max("scale").alias("most")).first()
-    chances = raked.select(*keys, (F.col("scale") / F.lit(float(size["most"] or 1))).alias("_p"))
+    chances = raked.select(*keys, (F.col("scale") / F.lit(float(size["most"] or 1) if budget is None else 1.0)).alias("_p"))
     if size["n"] <= MOST_BROADCAST:
         chances = F.broadcast(chances)
     out = plus.join(chances, keys, "left").withColumn("_probability", F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0))
     return out.drop(*keys, "_p")
 
 
-def sample(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, seed: str = "mix") -> DataFrame:
+def sample(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, seed: str = "mix", budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs`` that the calibrated probabilities keep, with all their columns; a null id counts as empty."""
     margins = {"source": None, "lang": None, "_topic": None} if margins is None else margins
     # the row goes along as one value, so columns of any name come back as they were
     used = dict.fromkeys(["doc_id", "text", *(m for m in margins if m != "_topic")])
-    out = weighted(docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("_row")), margins)
+    out = weighted(docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("_row")), margins, budget)
     return out.where(chance(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_probability")).select("_row.*")
 
 

@@ -220,6 +220,22 @@ def test_mixing_hits_targets(spark, odd):
     assert mixing.sample(odd.where("false")).count() == 0
 
 
+def test_a_tiny_cell_does_not_set_the_size_of_the_mixture(spark):
+    rnd = random.Random(9)
+    rows = [(i, "word " * 20, rnd.choice(["en", "en", "en", "fr"]), rnd.choice("aaab")) for i in range(4000)]
+    for extra in ([], [(9001, "ten words " * 5, None, None)]):
+        df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string")
+        out = mixing.weighted(df, budget=mixing.BUDGET)
+        kept, total = out.agg(F.sum(F.col("_tokens") * F.col("_probability")), F.sum("_tokens")).first()
+        assert kept / total == pytest.approx(mixing.BUDGET, abs=1e-4)
+        assert out.where("_probability < 0 or _probability > 1 + 1e-9").count() == 0
+        assert mixing.sample(df).count() / df.count() == pytest.approx(mixing.BUDGET, abs=0.05)
+        assert all(r._probability == pytest.approx(1) for r in out.where("source is null").collect())
+        shares = {r[0]: r[1] / kept for r in out.groupBy("source").agg(F.sum(F.col("_tokens") * F.col("_probability"))).collect()}
+        own = {r[0]: r[1] / total for r in out.groupBy("source").agg(F.sum("_tokens")).collect()}
+        assert shares["a"] / shares["b"] == pytest.approx((own["a"] / own["b"]) ** mixing.TEMPER, rel=1e-2)
+
+
 def test_columns_of_any_name_stay(spark):
     names = ["_id", "_cuts", "_row", "_m0", "_p", "_tokens", "_topic", "_probability", "_kept", "row"]
     texts = ["one two three four five six", " ".join(f"w{i}" for i in range(90)), "x " + " ".join(f"w{i}" for i in range(90))]
