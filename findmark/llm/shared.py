@@ -36,21 +36,22 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: the smallest node that is reachable from it.
 
-    Each round gives every node the smallest label among its neighbours and itself, then follows that label's own label.
-    The number of rounds follows the logarithm of the longest path.  Only one count per round reaches the driver.
+    Each round gives all nodes of a label the smallest label that any of them has as a neighbour, then that label's own new
+    label, so whole groups merge and not one node after another.  It ends when no label moves, however many rounds that
+    takes.  Only one count per round reaches the driver.
     """
-    spark = links.sparkSession
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = stored(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        low = labels.join(near, "node").groupBy(F.col("root").alias("old")).agg(F.min(F.least("root", "near")).alias("low"))
+        low = stored(low, "hooks")
+        up = low.join(labels.select(F.col("node").alias("low"), F.col("root").alias("up")), "low")
+        jump = up.join(low.select(F.col("old").alias("up"), F.col("low").alias("next")), "up").select("old", F.least("low", "next").alias("new"))
+        moved = stored(labels.join(jump, labels["root"] == jump["old"]).select("node", "old", F.col("new").alias("root")), "labels")
         labels = moved.select("node", "root")
         if not moved.where("root <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -121,6 +121,17 @@ def test_simhash_links_like_brute_force(spark):
     assert set(got) <= {tuple(sorted(p)) for p in brute} and classes(got) == classes(brute)
 
 
+def test_components_of_long_chains(spark):
+    from findmark.llm.shared import components
+
+    rnd = random.Random(10)
+    mixed = rnd.sample(range(1000, 100_000), 400)
+    chains = [*zip(range(2, 100), range(3, 101)), (100, 1), *zip(mixed, mixed[1:])]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chains, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 101)} | {i: min(mixed) for i in mixed}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_copies_odd_rows(spark, odd):
     rows = simhash.near_copies(odd).collect()
     assert len(rows) == 7 and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.fingerprint for r in rows if r.doc_id == 2} == {"0" * 16}
