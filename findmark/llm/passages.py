@@ -2,7 +2,8 @@
 
 Every document gives seeds: hashes of five consecutive words, chosen so that each ``WINDOW`` neighbouring k-mers have one
 among them (a shared stretch of ``K + WINDOW - 1`` words always shares a seed).  A seed's occurrences are joined with its
-first one, in the document of the smallest id: the rows grow with the text, however many documents share a passage.  The
+first one, in the document of the smallest id; a seed that is in no passage after that is joined with the document before
+its own that has it: the rows grow with the text, however many documents share a passage.  The
 matches of two documents are chained: a Fenwick tree over positions in the other document gives each match the best chain
 before it, less a cost for the gap.  Chains are then aligned word by word, between their matches and beyond their ends, and
 split where the words differ.  Parts that are alike enough are merged to passages of the document; those of fifty words and
@@ -23,6 +24,8 @@ from findmark.llm.shared import stored
 
 #: Words in a k-mer; k-mers of which one is a seed; words and likeness of a passage; words of a part that may be merged.
 K, WINDOW, LEAST_WORDS, LIKENESS, LEAST_PART = 5, 12, 50, 0.8, 20
+#: Ids in a block in which the document before a document is looked for.
+BLOCK = 1024
 #: Words between matches of a chain at most, words beyond a chain's ends that are aligned, cost of a word of gap.
 MOST_GAP, BEYOND, GAP_COST = 40, 64, 0.05
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -199,20 +202,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)] if out else [pa.array([], pa.int64())] * 7, [c.split()[0] for c in _PARTS.split(", ")])
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Parts of ``docs(doc_id, text)`` that stand in a document of a smaller id.
-
-    ``doc_id, other_id, start, end, other_start, other_end, matched, passage_start, passage_end``: places are words of the
-    whole text, ends excluded; the last two bound the merged passage, of ``LEAST_WORDS`` and more, that the part belongs
-    to.  Documents without words, with null text or without a repeated passage give no row; rows without ``doc_id`` are
-    left out; rows that share an id count as one document, whose rows are not compared with each other.
-    """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_seed_rows, "doc_id long, words binary, hashes array<long>, places array<int>"), "seeds")
-    places = rows.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", F.col("s.hashes").alias("h"), F.col("s.places").alias("p"))
-    firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    # kept as a table: joined from there, a seed of many documents can be split over tasks
-    firsts = stored(firsts.select("h", F.col("first.doc_id").alias("other_id"), F.col("first.p").alias("o")), "repeated-seeds")
-    hits = places.join(firsts, "h").where("doc_id > other_id").select("doc_id", "other_id", F.col("p").cast("long").alias("d"), F.col("o").cast("long").alias("o"))
+def _aligned(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Parts that are alike enough along the chains of ``hits(doc_id, other_id, d, o)``, with words from ``rows``."""
     chains = hits.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "d", "o").mapInArrow(_chains, _CHAINS)
     chains = stored(chains, "chains")
     words = rows.select("doc_id", "words")
@@ -220,7 +211,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     stretch = lambda w, a, b: F.substring(w, 2 * a + 1, 2 * (b - a))
     with_d = chains.join(words, "doc_id").select("doc_id", "other_id", "d", "o", around("d")[0].alias("d_from"), around("o")[0].alias("o_from"), stretch(F.col("words"), *around("d")).alias("dw"))
     with_o = with_d.join(words.select(F.col("doc_id").alias("other_id"), F.col("words").alias("ow")), "other_id").select("doc_id", "other_id", "d", "o", "d_from", "o_from", "dw", stretch(F.col("ow"), *around("o")).alias("ow"))
-    parts = with_o.mapInArrow(_parts, _PARTS)
+    return stored(with_o.mapInArrow(_parts, _PARTS), "parts")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """``parts`` with the bounds of the merged passage that each belongs to, where that has ``LEAST_WORDS``."""
     w = Window.partitionBy("doc_id").orderBy("start", "end", "other_id", "other_start")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
@@ -230,6 +225,46 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out.where(F.col("passage_end") - F.col("passage_start") >= LEAST_WORDS).drop("new", "island")
 
 
+def _before(held: DataFrame) -> DataFrame:
+    """For each seed and document of ``held(h, doc_id, p)`` the nearest smaller id that has the seed, with the seed's first
+    and last place there: ``h, doc_id, before(doc_id, lo, hi)``.
+
+    Ids are looked at in blocks and then block by block, so a seed of many documents is in many tasks.
+    """
+    own = held.groupBy("h", "doc_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).withColumn("block", F.floor(F.col("doc_id") / F.lit(BLOCK)))
+    one = F.struct("doc_id", "lo", "hi")
+    inside = own.withColumn("before", F.lag(one).over(Window.partitionBy("h", "block").orderBy("doc_id")))
+    lasts = own.groupBy("h", "block").agg(F.max(one).alias("last"))
+    lasts = lasts.withColumn("last", F.lag("last").over(Window.partitionBy("h").orderBy("block"))).where("last is not null")
+    return inside.join(lasts, ["h", "block"], "left").select("h", "doc_id", F.coalesce("before", "last").alias("before")).where("before is not null")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Parts of ``docs(doc_id, text)`` that stand in a document of a smaller id.
+
+    ``doc_id, other_id, start, end, other_start, other_end, matched, passage_start, passage_end``: places are words of the
+    whole text, ends excluded; the last two bound the merged passage, of ``LEAST_WORDS`` and more, that the part belongs
+    to.  Documents without words, with null text or without a repeated passage give no row; rows without ``doc_id`` are
+    left out; rows that share an id count as one document, whose rows are not compared with each other.
+    """
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_seed_rows, "doc_id long, words binary, hashes array<long>, places array<int>"), "seeds")
+    places = rows.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", F.col("s.hashes").alias("h"), F.col("s.places").alias("p"))
+    firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    # kept as a table: joined from there, a seed of many documents can be split over tasks
+    firsts = stored(firsts.select("h", F.col("first.doc_id").alias("other_id"), F.col("first.p").alias("o")), "repeated-seeds")
+    held = stored(places.join(firsts, "h").select("h", "doc_id", "p", "other_id", "o"), "repeated-places")
+    hit = lambda df, other, o: df.select("doc_id", F.col(other).alias("other_id"), F.col("p").cast("long").alias("d"), F.col(o).cast("long").alias("o"))
+    parts = _aligned(hit(held.where("doc_id > other_id"), "other_id", "o"), rows)
+    # a seed's first document may have it by chance: what is in no passage yet is joined with the document before its own
+    spans = _merged(parts).groupBy("doc_id").agg(F.collect_set(F.struct("passage_start", "passage_end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (F.col("p") >= s["passage_start"]) & (F.col("p") + K <= s["passage_end"]))
+    left = held.where("doc_id > other_id").join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+    again = left.join(_before(held), ["h", "doc_id"]).withColumn("q", F.explode(F.array_distinct(F.array("before.lo", "before.hi"))))
+    again = again.where((F.col("before.doc_id") != F.col("other_id")) | (F.col("q") != F.col("o")))
+    more = _aligned(hit(again, "before.doc_id", "q"), rows)
+    return _merged(parts.union(more).distinct())
+
+
 def cut_passages(text: str | None, passages: list[tuple[int, int]]) -> str | None:
     """``text`` without the words from each start to before each end, and the white space between them."""
     if text is None or not passages:

@@ -158,6 +158,17 @@ def test_passages(spark, odd):
     assert passages.repeated_passages(df.where("false")).count() == 0
 
 
+def test_passage_whose_seeds_stand_elsewhere_before(spark):
+    rnd = random.Random(11)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    near, far = make(60), make(60)
+    alone = [(i - 200 + 60 * k, words[i : i + passages.K]) for i in range(60 - passages.K + 1) for k, words in enumerate((near, far))]  # every seed by itself in an earlier document
+    docs = alone + [(102, make(20) + near), (103, far + make(20)), (104, make(30) + near + make(9)), (5000, make(12) + far)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    rows = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {i: (r.other_id, r.start, r.end, r.matched) for i, r in rows.items()} == {104: (102, 30, 90, 60), 5000: (103, 12, 72, 60)}
+
+
 def test_chain_is_best():
     rnd = random.Random(5)
     for _ in range(100):
