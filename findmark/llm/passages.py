@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from findmark.llm.shared import stored
 
 #: Words in a k-mer; k-mers of which one is a seed; words and likeness of a passage; words of a part that may be merged.
-K, WINDOW, LEAST_WORDS, LIKENESS, LEAST_PART = 5, 12, 50, 0.8, 20
+K, WINDOW, LEAST_WORDS, LIKENESS, LEAST_PART = 5, 4, 50, 0.8, 20
 #: Ids in a block in which the document before a document is looked for.
 BLOCK = 1024
 #: Words between matches of a chain at most, words beyond a chain's ends that are aligned, cost of a word of gap.
 MOST_GAP, BEYOND, GAP_COST = 40, 64, 0.05
+#: Words that an alignment beyond an end may be off its diagonal.
+BAND = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -117,18 +119,40 @@ def _edit_matches(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
-def align(d: np.ndarray, o: np.ndarray, dp: list[int], op: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Parts ``(d_start, d_end, o_start, o_end, matched)`` along a chain of matches ``dp, op`` in words ``d`` and ``o``."""
+def outward(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair of stretches that begin together: words of the first and of the second in the best alignment of their
+    beginnings, and how many are equal.
 
-    def outward(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-        m = min(len(a), len(b), BEYOND)
-        if not m:
-            return 0, 0
-        same = a[:m] == b[:m]
-        s = np.cumsum(np.where(same, 1, -2))
-        at = int(np.argmax(s))
-        return (at + 1, int(same[: at + 1].sum())) if s[at] > 0 else (0, 0)
+    An equal word counts 1; a changed, missing or additional one takes 2 away.  All pairs go row by row over a band of
+    ``BAND`` words to either side; scores hold the equal words in their low bits.
+    """
+    unit, n, width = 1 << 20, len(a), 2 * BAND + 1
+    x, y = np.full((n, BEYOND), -1, np.int32), np.full((n, BEYOND + 2 * BAND), -2, np.int32)
+    for i, (p, q) in enumerate(zip(a, b)):
+        x[i, : min(len(p), BEYOND)] = p[:BEYOND]
+        y[i, BAND : BAND + min(len(q), BEYOND)] = q[:BEYOND]
+    step = 2 * unit * np.arange(width, dtype=np.int64)
+    row = np.tile(np.where(np.arange(width) >= BAND, 2 * unit * BAND - step, -(1 << 40)), (n, 1))
+    out, best = np.zeros((n, 3), np.int64), np.zeros(n, np.int64)
+    todo = np.arange(n)
+    for i in range(BEYOND):
+        if not len(todo):
+            break
+        diagonal = row + np.where(x[todo, i, None] == y[todo, i : i + width], unit + 1, -2 * unit)
+        diagonal[:, :-1] = np.maximum(diagonal[:, :-1], row[:, 1:] - 2 * unit)
+        row = np.maximum.accumulate(diagonal + step, axis=1) - step
+        at = row.argmax(1)
+        top = row[np.arange(len(todo)), at]
+        better = top >> 20 > best[todo]
+        best[todo[better]] = top[better] >> 20
+        out[todo[better]] = np.stack([np.full(better.sum(), i + 1), i + 1 + at[better] - BAND, top[better] & (unit - 1)], 1)
+        open_ = (top >> 20) + BEYOND - i - 1 > best[todo]
+        todo, row = todo[open_], row[open_]
+    return out
 
+
+def align(d: np.ndarray, o: np.ndarray, dp: list[int], op: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Parts ``(d_start, d_end, o_start, o_end, matched)`` along a chain of matches ``dp, op`` in words ``d`` and ``o``."""
     parts, end_d, end_o = [], dp[0], op[0]
     start_d, start_o, matched = dp[0], op[0], 0
     for x, y in zip(dp, op):
@@ -146,12 +170,6 @@ def align(d: np.ndarray, o: np.ndarray, dp: list[int], op: list[int]) -> list[tu
             matched += same + K
         end_d, end_o = x + K, y + K
     parts.append((start_d, end_d, start_o, end_o, matched))
-    more, same = outward(d[end_d:], o[end_o:])
-    a, b, c, e, m = parts[-1]
-    parts[-1] = (a, b + more, c, e + more, m + same)
-    a, b, c, e, m = parts[0]
-    more, same = outward(d[:a][::-1], o[:c][::-1])
-    parts[0] = (a - more, b, c - more, e, m + same)
     return parts
 
 
@@ -193,10 +211,18 @@ _PARTS = "doc_id long, other_id long, start long, end long, other_start long, ot
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chain with the words around it to rows of parts that are alike enough."""
     for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        dws, ows = ([np.frombuffer(w, "<u2") for w in c] for c in columns[6:])
+        found = [align(dw, ow, [x - d_from for x in d], [y - o_from for y in o]) for dw, ow, d, o, d_from, o_from in zip(dws, ows, *columns[2:6])]
+        after = outward([dw[p[-1][1] :] for dw, p in zip(dws, found)], [ow[p[-1][3] :] for ow, p in zip(ows, found)])
+        ahead = outward([dw[: p[0][0]][::-1] for dw, p in zip(dws, found)], [ow[: p[0][2]][::-1] for ow, p in zip(ows, found)])
         out = []
-        for doc, other, d, o, d_from, o_from, dw, ow in zip(*(c.to_pylist() for c in batch.columns)):
-            dw, ow = np.frombuffer(dw, "<u2"), np.frombuffer(ow, "<u2")
-            for a, b, c, e, m in align(dw, ow, [x - d_from for x in d], [y - o_from for y in o]):
+        for doc, other, d_from, o_from, parts, (da, oa, ma), (db, ob, mb) in zip(*columns[:2], *columns[4:6], found, after.tolist(), ahead.tolist()):
+            a, b, c, e, m = parts[-1]
+            parts[-1] = (a, b + da, c, e + oa, m + ma)
+            a, b, c, e, m = parts[0]
+            parts[0] = (a - db, b, c - ob, e, m + mb)
+            for a, b, c, e, m in parts:
                 if b - a >= LEAST_PART and m >= LIKENESS * max(b - a, e - c):
                     out.append((doc, other, a + d_from, b + d_from, c + o_from, e + o_from, m))
         yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)] if out else [pa.array([], pa.int64())] * 7, [c.split()[0] for c in _PARTS.split(", ")])

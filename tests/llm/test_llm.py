@@ -169,6 +169,39 @@ def test_passage_whose_seeds_stand_elsewhere_before(spark):
     assert {i: (r.other_id, r.start, r.end, r.matched) for i, r in rows.items()} == {104: (102, 30, 90, 60), 5000: (103, 12, 72, 60)}
 
 
+def test_passages_like_brute_force(spark):
+    rnd = random.Random(12)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    docs, alike = [], []
+    for i in range(150):
+        own, other = make(60), []
+        for w in own:
+            other += rnd.choice([make(1), make(1), make(1), [], [w, *make(1)]]) if rnd.random() < 0.15 else [w]
+        row = [0] * (len(other) + 1)
+        for x in own:
+            last, row = row, [0]
+            for j, y in enumerate(other):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        if row[-1] >= passages.LIKENESS * max(len(own), len(other)) and len(other) >= passages.LEAST_WORDS:
+            alike.append(2 * i + 1)
+        docs += [(2 * i, " ".join(make(70) + own + make(70))), (2 * i + 1, " ".join(make(70) + other + make(70)))]
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(alike) > 120 and len(found & set(alike)) >= 0.75 * len(alike)
+
+
+def test_outward_is_best():
+    rnd = np.random.default_rng(13)
+    a, b = [rnd.integers(0, 3, rnd.integers(0, 12)) for _ in range(200)], [rnd.integers(0, 3, rnd.integers(0, 9)) for _ in range(200)]
+    for x, y, (i, j, m) in zip(a, b, passages.outward(a, b).tolist()):
+        s = np.zeros((len(x) + 1, len(y) + 1))
+        for p in range(len(x) + 1):
+            for q in range(len(y) + 1):
+                s[p, q] = max([-99 if p + q else 0, *([s[p - 1, q] - 2] if p else []), *([s[p, q - 1] - 2] if q else []), *([s[p - 1, q - 1] + (1 if x[p - 1] == y[q - 1] else -2)] if p and q else [])])
+        assert i <= len(x) and j <= len(y) and m <= min(i, j)
+        within = [s[p, q] for p in range(len(x) + 1) for q in range(len(y) + 1) if abs(p - q) <= passages.BAND]
+        assert s[i, j] == max(within)
+
+
 def test_chain_is_best():
     rnd = random.Random(5)
     for _ in range(100):
