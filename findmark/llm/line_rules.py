@@ -75,6 +75,31 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*b.columns[:3], *(pa.array(c.copy()) for c in counts.T), hashes, words], ["row", "doc_id", "host", *names, "hashes", "line_words"])
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lines = [line_hashes(t) for t in b.column(2).to_pylist()]
+        hashes, words = pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))
+        yield pa.record_batch([*b.columns[:2], hashes, words], ["row", "host", "hashes", "line_words"])
+
+
+def _often(rows: DataFrame, line_docs: int, line_share: float) -> tuple[DataFrame, DataFrame]:
+    """Lines ``row, host, h, w`` of measured ``rows``, and the boilerplate ``host, h`` among them."""
+    lines = rows.select("row", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.line_words").alias("w"))
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    return lines, stored(often.join(hosts, "host").where(F.col("n") > F.col("host_docs") * F.lit(line_share)).select("host", "h"), "boilerplate")
+
+
+def without_lines(text: str | None, hashes: set[int]) -> str | None:
+    """``text`` without the lines whose normalised form has one of ``hashes``."""
+    from xxhash import xxh64_intdigest
+
+    if text is None or not hashes:
+        return text
+    hashed = lambda line: xxh64_intdigest(b" ".join(line.encode("utf-8", "surrogatepass").split())) - (1 << 63)
+    return "\n".join(x for x, low in zip(text.split("\n"), text.lower().split("\n"), strict=True) if not low.strip() or hashed(low) not in hashes)
+
+
 def apply_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """Counts and verdicts for every row of ``docs(doc_id, text, <host>)``.
 
@@ -84,10 +109,7 @@ def apply_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOC
     schema = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, line_words array<int>"
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
     rows = stored(own.mapInArrow(_rows, schema), "line-rules")
-    lines = rows.select("row", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.line_words").alias("w"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = stored(often.join(hosts, "host").where(F.col("n") > F.col("host_docs") * F.lit(line_share)).select("host", "h"), "boilerplate")
+    lines, often = _often(rows, line_docs, line_share)
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("w").cast("long").alias("removed_words"))
     out = rows.drop("hashes", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -97,6 +119,32 @@ def apply_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOC
     )
 
 
+def remove_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, chars: str | None = "n_chars") -> DataFrame:
+    """Every row of ``docs``, all columns, with its text without boilerplate lines.
+
+    The words that go are the ``removed_words`` of ``apply_rules``.  ``chars``, where it is one, is the new length.
+    """
+    names, schema = docs.columns, docs.schema
+    # the rows are kept with their numbers, so the lines found come back to the row they are from
+    own = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in names)).alias("doc")), "numbered")
+    lines = own.select("row", F.coalesce(F.col(f"doc.{host}").cast("string"), F.lit("")).alias("host"), F.col("doc.text").alias("text")).mapInArrow(_lines, "row long, host string, hashes array<long>, line_words array<int>")
+    lines, often = _often(stored(lines, "lines"), line_docs, line_share)
+    cuts = lines.join(often, ["host", "h"]).groupBy("row").agg(F.collect_set("h").alias("cut"))
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, cuts = b.column(0).flatten(), b.column(1).to_pylist()
+            new = [without_lines(t, set(x or ())) for t, x in zip(columns[at].to_pylist(), cuts)]
+            columns[at] = pa.array(new, columns[at].type)
+            if chars in names:
+                k = names.index(chars)
+                columns[k] = pa.array([len(t) if x else n for n, t, x in zip(columns[k].to_pylist(), new, cuts)], columns[k].type)
+            yield pa.record_batch(columns, names)
+
+    return own.join(cuts, "row", "left").select("doc", "cut").mapInArrow(run, schema)
+
+
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),

@@ -262,6 +262,18 @@ def test_line_rules(spark, odd):
     assert line_rules.apply_rules(odd).count() == len(ODD) and line_rules.apply_rules(odd.where("false")).count() == 0
 
 
+def test_boilerplate_lines_go(spark, odd):
+    own = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
+    df = spark.createDataFrame([(i, f"The  shared LINE\n{own(i)}\n\nthe shared line", "h", 0) for i in range(30)] + [(30, own(30), "h", 7), (31, "the shared line\n" + own(31), None, 8), (32, None, "h", 9)], "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in line_rules.remove_lines(df).collect()}
+    assert all(got[i].text == f"{own(i)}\n" and got[i].n_chars == len(got[i].text) for i in range(30))
+    assert got[30].n_chars == 7 and got[31].text == "the shared line\n" + own(31) and got[32].text is None
+    words = lambda t: len((t or "").split())
+    before = {r.doc_id: words(r.text) for r in df.collect()}
+    assert {r.doc_id: r.removed_words for r in line_rules.apply_rules(df).collect()} == {i: before[i] - words(r.text) for i, r in got.items()}
+    assert line_rules.remove_lines(odd).columns == odd.columns and line_rules.remove_lines(odd).count() == len(ODD)
+
+
 def test_mixing_hits_targets(spark, odd):
     rnd = random.Random(7)
     rows = [(i, "word " * rnd.randint(1, 30), rnd.choice(["en", "en", "en", "fr"]), rnd.choice("abc")) for i in range(3000)]
