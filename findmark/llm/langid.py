@@ -71,6 +71,8 @@ class Profiles:
         away = np.abs(self.ranks[at[known]] - np.flatnonzero(known)[:, None])
         far = np.minimum(away, self.length).sum(0) + self.length * int((~known).sum())
         best = int(np.argmin(far))
+        if far[best] >= self.length * len(top):  # nothing in common with any profile
+            return UNKNOWN, 0.0
         return self.langs[best], 1.0 - float(far[best]) / (self.length * len(top))
 
 
@@ -110,7 +112,7 @@ def learn(docs: DataFrame, length: int = PROFILE, each: int = SAMPLE_EACH, most:
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs(doc_id, text)``.
 
-    Null texts and texts without a letter are ``und`` with score 0.  Rows that share an id, or have none, each give a row.
+    Null texts, texts without a letter and texts as far as can be from every profile are ``und`` with score 0.  Rows that share an id, or have none, each give a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

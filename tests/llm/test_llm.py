@@ -325,6 +325,14 @@ def test_language(spark, odd):
     assert langid.learn(odd.where("false")).predict("text") == ("und", 0.0)
 
 
+def test_another_script_is_no_known_language(spark):
+    df = spark.createDataFrame([(i, "some plain words here", "en") for i in range(3)] + [(9, "한글로쓴글", None)], "doc_id long, text string, lang string")
+    profiles = langid.learn(df)
+    grams = {int(g) for g in profiles.grams}
+    assert profiles.predict("한글로쓴글") == ("und", 0.0) and grams
+    assert {r.doc_id for r in langid.keep_known(df, profiles).collect()} == {0, 1, 2}
+
+
 def test_quality(spark, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = entries.op1_pairwise_additive_quality(spark, SF).join(labels, "doc_id").where("held_out").collect()
