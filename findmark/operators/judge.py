@@ -245,7 +245,7 @@ def parse_attribute_replies(replies: DataFrame) -> DataFrame:
     return rows.withColumn("answers", answers).drop("v", "items")
 
 
-def judge_with_splits(chunks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], retries: int = 3, most_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def judge_with_splits(chunks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], retries: int = 3) -> tuple[DataFrame, DataFrame]:
     """Judges ``chunks(series_uuid, chunk, pair_id, …)``; a chunk whose retries are spent is halved, down to single pairs.
 
     ``ask(chunks, attempt)`` returns ``series_uuid, chunk, reply``.  Returns ``answers(series_uuid, pred_id, gt_id, errors)``
@@ -253,7 +253,7 @@ def judge_with_splits(chunks: DataFrame, ask: Callable[[DataFrame, int], DataFra
     """
     left = stored(chunks.withColumn("part", F.lit("")), "chunks")
     answers, failures = [], []
-    for _ in range(most_rounds):
+    while True:  # each round halves what is left
         for attempt in range(retries + 1):
             keys = ["series_uuid", "chunk", "part"]
             sizes = left.groupBy(*keys).agg(F.count("*").cast("int").alias("n_pairs"))

@@ -54,23 +54,21 @@ def size_given_elsewhere(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("size_elsewhere", F.size(F.array_except(givers, F.array("pred_id"))) > 0)
 
 
-def match_components(matches: DataFrame, most_rounds: int = 40) -> DataFrame:
+def match_components(matches: DataFrame) -> DataFrame:
     """Links with ``component``: the smallest tagged id of the connected findings of their series.
 
-    Labels spread along links and then jump to their label's own label; rounds follow the logarithm of the longest path.
+    All findings of a label take the smallest label next to any of them, and then that label's own new label, until none
+    moves.
     """
     edge = matches.select("series_uuid", F.concat(F.lit("p:"), "pred_id").alias("a"), F.concat(F.lit("g:"), "gt_id").alias("b")).distinct()
     both = stored(edge.union(edge.select("series_uuid", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy("series_uuid", F.col("a").alias("v")).agg(F.min("b").alias("m")).select("series_uuid", "v", F.least("v", "m").alias("root")), "labels")
-
-    def spread(labels: DataFrame) -> DataFrame:
+    while True:
         near = both.join(labels.select("series_uuid", F.col("v").alias("b"), "root"), ["series_uuid", "b"]).groupBy("series_uuid", F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        low = labels.join(near, ["series_uuid", "v"]).select("series_uuid", "v", "was", F.least("root", "near").alias("root"))
-        jump = low.select("series_uuid", F.col("v").alias("root"), F.col("root").alias("next"))
-        return low.join(jump, ["series_uuid", "root"], "left").select("series_uuid", "v", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
-
-    for _ in range(most_rounds):
-        moved = stored(spread(spread(labels.withColumn("was", F.col("root")))), "labels")
+        low = stored(labels.join(near, ["series_uuid", "v"]).groupBy("series_uuid", "root").agg(F.min(F.least("root", "near")).alias("low")), "hooks")
+        up = low.join(labels.select("series_uuid", F.col("v").alias("low"), F.col("root").alias("up")), ["series_uuid", "low"])
+        jump = up.join(low.select("series_uuid", F.col("root").alias("up"), F.col("low").alias("next")), ["series_uuid", "up"]).select("series_uuid", "root", F.least("low", "next").alias("new"))
+        moved = stored(labels.join(jump, ["series_uuid", "root"]).select("series_uuid", "v", F.col("root").alias("was"), F.col("new").alias("root")), "labels")
         labels = moved.select("series_uuid", "v", "root")
         if moved.where("root <> was").isEmpty():
             break
