@@ -1,4 +1,9 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+The folder is the session's ``spark.checkpoint.dir``, else the checkpoint folder that the context was given.  On one machine
+(a local master) without either, a temporary folder is set for the application; on a cluster that is an error, since the
+folders of its machines are not shared.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +12,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary folder for this application."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="findmark-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="findmark-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table that is written once: no later use computes it again."""
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` as a table that is written once: its lineage is cut, and a lost executor costs no earlier step again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for t in tables:
+        session = t.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
