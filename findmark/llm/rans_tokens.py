@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findmark.llm.shared import shared_dir
+from findmark.llm.shared import scratch_dir
 from findmark.llm.tokens import encoder
 
 MAGIC = b"FMRANS01"
@@ -159,7 +159,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str | None = Non
     Null text is the empty text; rows without ``doc_id`` have no place in the order and are left out; rows that share an
     id stand beside each other.  Other columns are not read.
     """
-    path = path or f"{shared_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
+    path = path or f"{scratch_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = TaskContext.get().partitionId(), 0

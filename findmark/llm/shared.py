@@ -1,39 +1,13 @@
-"""Tables kept in the shared folder of the cluster, and connected components over links.
-
-The folder is the session's ``spark.checkpoint.dir``.  Where the session has none (tests, one machine), a temporary one is
-set once per application.
-"""
+"""Connected components over links; tables are kept in the shared folder of the cluster."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="findmark-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
+from findmark.sources.scratch import dropped, new_path, scratch_dir, stored
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as a table in the shared folder and read from there: its lineage is cut and every lost executor can
-    be replaced without computing ``df`` again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "dropped", "new_path", "scratch_dir", "stored"]
 
 
 def components(links: DataFrame) -> DataFrame:
