@@ -305,7 +305,7 @@ def _lists(pieces: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces) if pieces else [], kind))
 
 
-def _chainer(least: int):
+def _chainer(least: int = 2):
     """Matches sorted by document, other document and places to chains of at least ``least`` matches without large gaps;
     and, in a row without other document, the document's seeds that are in no chain that is a passage for sure."""
 
@@ -372,9 +372,9 @@ def _chainer(least: int):
     return run
 
 
-def _chained(matches: DataFrame, name: str, least: int) -> DataFrame:
+def _chained(matches: DataFrame, name: str) -> DataFrame:
     rows = matches.select("h", "doc_id", "p", "other_id", "o").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "p", "o")
-    return stored(rows.mapInArrow(_chainer(least), _CHAINS), name)
+    return stored(rows.mapInArrow(_chainer(), _CHAINS), name)
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> int:
@@ -593,11 +593,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     matches, held = _matches(own.mapInArrow(_seed_dealer(buckets), _DEALT), "seeds")
-    chains = _chained(matches, "chains", 2)
+    chains = _chained(matches, "chains")
     dropped(held)
     loose = chains.where("other_id is null").select("doc_id", "h", "d")
     matches, held = _matches(loose.mapInArrow(_key_dealer(buckets), _DEALT), "keys")
-    again = _chained(matches, "chains", 1)
+    again = _chained(matches, "chains")
     dropped(held)
     both = chains.where("other_id is not null").unionByName(again.where("other_id is not null"))
     parts = _aligned(both, own)

@@ -158,15 +158,31 @@ def test_passages(spark, odd):
     assert passages.repeated_passages(df.where("false")).count() == 0
 
 
-def test_passage_whose_seeds_stand_elsewhere_before(spark):
+def test_passages_behind_short_quotes_like_brute_force(spark):
     rnd = random.Random(11)
     make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
-    near, far = make(60), make(60)
-    alone = [(i - 200 + 60 * k, words[i : i + passages.K]) for i in range(60 - passages.K + 1) for k, words in enumerate((near, far))]  # every seed by itself in an earlier document
-    docs = alone + [(102, make(20) + near), (103, far + make(20)), (104, make(30) + near + make(9)), (5000, make(12) + far)]
+    docs, ids = [], iter(range(10**6))
+    for size in (50, 56, 64, 80, 120):
+        for quoted, between in ((7, 0), (12, 0), (19, 0), (19, 12), (15, 30)):
+            passage = make(size)
+            quotes = lambda: [(next(ids), make(15) + passage[i : i + quoted] + make(15)) for i in range(0, size - quoted + 1, 2)]
+            docs += quotes() if between else []
+            docs.append((next(ids), make(20) + passage + make(9)))
+            docs += quotes()
+            docs.append((next(ids), passage + make(between)))
+    docs.append((next(ids), make(400)))
+    earlier, alike = {}, set()
+    for i, words in docs:  # every stretch of 50 words that an earlier document has
+        own = {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+        if any(k in earlier for k in own):
+            alike.add(i)
+        earlier.update(dict.fromkeys(own, i))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
-    rows = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
-    assert {i: (r.other_id, r.start, r.end, r.matched) for i, r in rows.items()} == {104: (102, 30, 90, 60), 5000: (103, 12, 72, 60)}
+    rows = passages.repeated_passages(df).collect()
+    assert len(alike) == 25 and {r.doc_id for r in rows} == alike
+    assert all(r.passage_end - r.passage_start >= 50 for r in rows)
+    again = passages.repeated_passages(df.repartition(5)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
 def test_passages_like_brute_force(spark):
@@ -186,20 +202,61 @@ def test_passages_like_brute_force(spark):
             alike.append(2 * i + 1)
         docs += [(2 * i, " ".join(make(70) + own + make(70))), (2 * i + 1, " ".join(make(70) + other + make(70)))]
     found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(alike) > 120 and len(found & set(alike)) >= 0.75 * len(alike)
+    assert len(alike) > 120 and len(found & set(alike)) >= 0.9 * len(alike)
+
+
+def test_seeds_like_a_plain_loop():
+    rnd = np.random.default_rng(14)
+    n = np.array([0, 3, 5, 6, 8, 40, 1, 300])
+    words = rnd.integers(0, 50, n.sum()).astype(np.uint64)
+    h, text, place = passages.seeds(words, n)
+    wanted, at = [], 0
+    for i, size in enumerate(n.tolist()):
+        own = words[at : at + size]
+        k = []
+        for p in range(size - passages.K + 1):
+            value = own[p : p + 1].copy()
+            for j in range(1, passages.K):
+                value = value * np.uint64(0x9E3779B97F4A7C15) + own[p + j]
+            k.append(int(passages._mixed(value)[0]))
+        windows = range(max(1, len(k) - passages.WINDOW + 1)) if k else []
+        wanted += [(k[p], i, p) for p in sorted({min(range(w, min(w + passages.WINDOW, len(k))), key=lambda p: k[p]) for w in windows})]
+        at += size
+    assert [*zip(h.tolist(), text.tolist(), place.tolist())] == wanted
+
+
+def test_occurrences_are_matched_with_the_first():
+    rnd = np.random.default_rng(15)
+    key, doc, place = passages._mixed(rnd.integers(1, 41, 600).astype(np.uint64)), rnd.integers(0, 9, 600), rnd.integers(0, 100, 600)
+    batches = [passages._dealt(key[i : i + 200], doc[i : i + 200], place[i : i + 200], 7) for i in (0, 200, 400)]
+    import pyarrow as pa
+
+    dealt = pa.Table.from_batches(batches).sort_by("bucket").to_batches()
+    rows = [r for b in passages._held(iter(dealt)) for r in b.to_pylist()]
+    firsts = {r["h"]: (r["other_id"], r["o"]) for r in rows if r["first"]}
+    got = sorted((r["h"] & 0xFFFFFFFF, r["doc_id"], r["p"], *firsts[r["h"]]) for r in rows if r["h"] in firsts)
+    wanted = []
+    for k in set(key.tolist()):
+        own = sorted((int(d), int(p)) for d, p in zip(doc[key == k], place[key == k]))
+        if own[0][0] != own[-1][0]:
+            wanted += [(k & 0xFFFFFFFF, d, p, *own[0]) for d, p in own]
+    assert got == sorted(wanted)
 
 
 def test_outward_is_best():
     rnd = np.random.default_rng(13)
     a, b = [rnd.integers(0, 3, rnd.integers(0, 12)) for _ in range(200)], [rnd.integers(0, 3, rnd.integers(0, 9)) for _ in range(200)]
-    for x, y, (i, j, m) in zip(a, b, passages.outward(a, b).tolist()):
-        s = np.zeros((len(x) + 1, len(y) + 1))
+    upto, same = passages.outward(a, b)
+    for x, y, j_of, m_of in zip(a, b, upto, same):
+        s = np.full((len(x) + 1, len(y) + 1), -99)
         for p in range(len(x) + 1):
             for q in range(len(y) + 1):
-                s[p, q] = max([-99 if p + q else 0, *([s[p - 1, q] - 2] if p else []), *([s[p, q - 1] - 2] if q else []), *([s[p - 1, q - 1] + (1 if x[p - 1] == y[q - 1] else -2)] if p and q else [])])
-        assert i <= len(x) and j <= len(y) and m <= min(i, j)
-        within = [s[p, q] for p in range(len(x) + 1) for q in range(len(y) + 1) if abs(p - q) <= passages.BAND]
-        assert s[i, j] == max(within)
+                s[p, q] = max([0 if not p + q else -99, *([s[p - 1, q] - 1] if p else []), *([s[p, q - 1] - 1] if q else []), *([s[p - 1, q - 1] + (1 if x[p - 1] == y[q - 1] else -1)] if p and q else [])])
+        for p in range(len(x) + 1):
+            within = [q for q in range(len(y) + 1) if abs(p - q) <= passages.BAND]
+            if within:
+                assert m_of[p] <= min(p, j_of[p]) and j_of[p] in within and s[p, j_of[p]] == max(s[p, q] for q in within)
+        assert (m_of[len(x) + 1 :] == -1).all()
 
 
 def test_chain_is_best():
