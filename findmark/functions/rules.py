@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The names of sections that a report may have.
 HEADERS = ("INDICATION", "CLINICAL HISTORY", "CLINICAL INFORMATION", "HISTORY", "REASON FOR EXAM", "REASON FOR EXAMINATION", "COMMENT", "CLINICAL DETAILS", "CLINICAL CONTEXT")
 SECTIONS = ("FINDINGS", "IMPRESSION", "TECHNIQUE", "COMPARISON", "CONCLUSION", "EXAMINATION", "PROCEDURE", "RECOMMENDATION")
 _NORMAL = r"(?i)\b(no|not|without|unremarkable|normal|patent|negative for|resolved)\b"

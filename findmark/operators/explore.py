@@ -13,11 +13,8 @@ from findmark.functions import outcomes as K
 def report_index(per_report: DataFrame, findings: DataFrame) -> DataFrame:
     """One row per series: errors by tier, outcome counts, and the distinct values of both sides' findings."""
     tiers = per_report.groupBy("series_uuid").agg(*(F.max(F.when(F.col("tier") == t, F.col("errors"))).alias(f"{t}_errors") for t in schema.TIERS), *(F.first(c).alias(f"muc_{c}") for c in schema.OUTCOMES))
-    values = findings.groupBy("series_uuid").agg(
-        F.sort_array(F.collect_set("clinical_significance")).alias("significances"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("measurements", lambda m: m["category"]))))).alias("categories"),
-        F.sort_array(F.collect_set("comparison")).alias("comparisons"),
-    )
+    each = findings.select("series_uuid", "clinical_significance", "comparison", F.explode_outer(F.transform("measurements", lambda m: m["category"])).alias("category"))
+    values = each.groupBy("series_uuid").agg(*(F.sort_array(F.collect_set(c)).alias(n) for c, n in (("clinical_significance", "significances"), ("category", "categories"), ("comparison", "comparisons"))))
     out = tiers.join(values, "series_uuid", "left")
     none = F.array().cast("array<string>")
     for c in ("significances", "categories", "comparisons"):

@@ -8,17 +8,19 @@ reason, never exceptions.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findmark import schema
 from findmark.functions import normalize as N
 from findmark.sources.scratch import stored
 
 MESSAGES = "array<struct<role:string,content:string>>"
-CHUNK, MOST_ATTEMPTS = 10, 5
+USAGE = "struct<model:string,uncached_input:bigint,cache_read:bigint,cache_write:bigint,output:bigint>"
+CHUNK, MOST_ATTEMPTS, MOST_RETRIES = 10, 5, 3
 
 
 def message(role: str, content: Column) -> Column:
@@ -66,38 +68,59 @@ def attribute_chunks(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
     return pairs.where("needs_judge").withColumn("n", n).withColumn("chunk", F.floor(F.col("n") / size).cast("int")).withColumn("pair_id", (F.col("n") % size + 1).cast("int")).drop("n")
 
 
-def attribute_requests(chunks: DataFrame, system: str) -> DataFrame:
-    """One request per chunk of ``chunks(…, p_text, g_text, same_group_pred, same_group_gt)``; absent context has no key."""
-    pair = F.struct("pair_id", F.col("p_text").alias("pred"), F.col("g_text").alias("gt"), "same_group_pred", "same_group_gt")
-    rows = chunks.groupBy("series_uuid", "chunk").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return rows.select("series_uuid", "chunk", F.size("pairs").alias("n_pairs"), F.array(message("system", F.lit(system)), message("user", F.to_json(F.struct("pairs")))).alias("messages"))
-
+def attribute_requests(chunks: DataFrame, system: str, indications: DataFrame | None = None, correct: bool = False) -> DataFrame:
+    """One request per chunk (and part) of ``chunks(…, pair_id, pred_id, gt_id, p_text, g_text, same_group_pred,
+    same_group_gt)``: the study's indication, where there is one, and the pairs; absent context has no key.
 
-def call_judge(requests: DataFrame, judge: Callable[[list[dict]], str], keys: list[str], attempts: int = MOST_ATTEMPTS, tasks: int | None = None) -> DataFrame:
-    """Replies of ``judge(messages) -> text`` to ``requests(<keys>, messages)``: ``<keys>, reply, error, attempts``.
-
-    An exception or an empty reply is tried again; what fails to the end is a row with its error.
+    ``asked`` names the pairs by their number.  With ``correct`` the request says what was wrong with the answer before.
+    """
+    keys = [k for k in ("series_uuid", "chunk", "part") if k in chunks.columns]
+    pair = F.struct("pair_id", F.col("p_text").alias("pred"), F.col("g_text").alias("gt"), "same_group_pred", "same_group_gt")
+    rows = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(F.struct("pair_id", "pred_id", "gt_id"))).alias("asked"))
+    if indications is None:
+        rows = rows.withColumn("indication", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(indications.select("series_uuid", F.when(F.length("indication") > 0, F.col("indication")).alias("indication")), "series_uuid", "left")
+    messages = [message("system", F.lit(system)), message("user", F.to_json(F.struct("indication", "pairs")))]
+    if correct:
+        messages.append(message("user", F.concat(F.lit("Your last answer was not valid: errors_per_pair must have one entry for each pair_id from 1 to "), F.size("pairs").cast("string"), F.lit("."))))
+    return rows.select(*keys, F.size("pairs").alias("n_pairs"), "asked", F.array(*messages).alias("messages"))
+
+
+def call_judge(requests: DataFrame, judge: Callable[[list[dict]], str | tuple[str, dict]], keys: list[str], attempts: int = MOST_ATTEMPTS, tasks: int | None = None, retryable: tuple[type[BaseException], ...] = (Exception,), own_timeout: bool = False, threads: int = 1) -> DataFrame:
+    """Replies of ``judge(messages)`` to ``requests(<keys>, messages)``: ``<keys>, reply, error, attempts, usage``.
+
+    The judge returns its text, or the text and a dict of the fields of ``USAGE``, which ``metrics.token_cost`` sums up.  A
+    ``retryable`` exception or an empty reply is tried again; any other exception is not, and a ``TimeoutError`` is not
+    where the judge has a timeout of its own (``own_timeout``).  What fails to the end is a row with its error.  A task has
+    ``threads`` calls open at a time, so a slow one does not hold up the others.
     """
     kinds = dict(requests.dtypes)
 
+    def one(messages) -> tuple:
+        said, error, n, usage = None, None, 0, None
+        while not said and n < attempts:
+            n += 1
+            try:
+                said, error = judge([dict(m) if isinstance(m, dict) else m.asDict() for m in messages]), None
+                if isinstance(said, tuple):
+                    said, usage = said
+            except Exception as e:  # a user's function may raise anything
+                said, error = None, f"{type(e).__name__}: {e}"
+                if not isinstance(e, retryable) or (own_timeout and isinstance(e, TimeoutError)):
+                    break
+        return said or None, None if said else error or "empty reply", n, usage
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[keys].copy()
-            replies = []
-            for messages in frame["messages"]:
-                reply, error, n = None, None, 0
-                while not reply and n < attempts:
-                    n += 1
-                    try:
-                        reply, error = judge([dict(m) if isinstance(m, dict) else m.asDict() for m in messages]), None
-                    except Exception as e:  # a user's function may raise anything
-                        error = f"{type(e).__name__}: {e}"
-                replies.append((reply or None, None if reply else error or "empty reply", n))
-            out["reply"], out["error"], out["attempts"] = zip(*replies) if replies else ([], [], [])
-            yield out
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                out = frame[keys].copy()
+                replies = list(pool.map(one, frame["messages"]))
+                out["reply"], out["error"], out["attempts"], out["usage"] = zip(*replies) if replies else ([], [], [], [])
+                yield out
 
     rows = requests.repartition(tasks) if tasks else requests
-    return rows.select(*keys, "messages").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "reply string", "error string", "attempts int"]))
+    return rows.select(*keys, "messages").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "reply string", "error string", "attempts int", f"usage {USAGE}"]))
 
 
 def recorded_replies(requests: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
@@ -245,35 +268,34 @@ def parse_attribute_replies(replies: DataFrame) -> DataFrame:
     return rows.withColumn("answers", answers).drop("v", "items")
 
 
-def judge_with_splits(chunks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], retries: int = 3) -> tuple[DataFrame, DataFrame]:
+def judge_with_splits(chunks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], retries: int = MOST_RETRIES, system: str = "", indications: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Judges ``chunks(series_uuid, chunk, pair_id, …)``; a chunk whose retries are spent is halved, down to single pairs.
 
-    ``ask(chunks, attempt)`` returns ``series_uuid, chunk, reply``.  Returns ``answers(series_uuid, pred_id, gt_id, errors)``
-    and failures of single pairs.
+    ``ask(requests, attempt)`` answers ``attribute_requests`` of the chunks (and parts) that are left and returns
+    ``series_uuid, chunk, part, reply``; from the second attempt on requests carry a correction.  Returns
+    ``answers(series_uuid, pred_id, gt_id, errors)`` and failures of single pairs: each pair is in one of the two.
     """
+    keys = ["series_uuid", "chunk", "part"]
     left = stored(chunks.withColumn("part", F.lit("")), "chunks")
-    answers, failures = [], []
-    while True:  # each round halves what is left
+    none = left.select("series_uuid", "pred_id", "gt_id", F.lit("").alias("reason")).where("false")
+    answers, failures = [], [none]
+    while True:  # each round halves what is left, so it ends when the largest chunk is down to single pairs
         for attempt in range(retries + 1):
-            keys = ["series_uuid", "chunk", "part"]
-            sizes = left.groupBy(*keys).agg(F.count("*").cast("int").alias("n_pairs"))
-            replies = ask(left, attempt)
-            parsed = stored(parse_attribute_replies(sizes.join(replies.select(*keys, "reply"), keys, "left")), "parsed")
+            requests = attribute_requests(left, system, indications, attempt > 0)
+            replies = ask(requests, attempt).select(*keys, "reply")
+            parsed = stored(parse_attribute_replies(requests.select(*keys, "n_pairs").join(replies, keys, "left")), "parsed")
             found = parsed.where("ok").select(*keys, F.explode("answers").alias("a")).select(*keys, "a.pair_id", "a.errors")
             answers.append(left.join(found, [*keys, "pair_id"]).select("series_uuid", "pred_id", "gt_id", "errors"))
             left = stored(left.join(parsed.where("NOT ok").select(*keys), keys, "left_semi"), "left")
-            if not left.limit(1).count():
-                break
-        if not left.limit(1).count():
-            break
+            if left.isEmpty():
+                return reduce(DataFrame.unionByName, answers), reduce(DataFrame.unionByName, failures)
         n = F.count("*").over(Window.partitionBy(*keys))
         failures.append(left.withColumn("n", n).where("n = 1").select("series_uuid", "pred_id", "gt_id", F.lit("no valid answer for one pair").alias("reason")))
-        first = F.ceil(F.col("n") / 2)
+        first = F.floor(F.col("n") / 2)
         halves = left.withColumn("n", n).where("n > 1").withColumn("part", F.concat("part", F.when(F.col("pair_id") <= first, "a").otherwise("b"))).withColumn("pair_id", F.when(F.col("pair_id") <= first, F.col("pair_id")).otherwise(F.col("pair_id") - first).cast("int")).drop("n")
         left = stored(halves, "halves")
-    union = lambda frames, empty: frames[0] if len(frames) == 1 else (empty if not frames else frames[0].unionByName(union(frames[1:], empty)) if len(frames) > 1 else frames[0])
-    none = left.select("series_uuid", "pred_id", "gt_id", F.lit("").alias("reason")).where("false")
-    return union(answers, None), union(failures, none)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, answers), reduce(DataFrame.unionByName, failures)
 
 
 def scatter(pairs: DataFrame, answers: DataFrame) -> DataFrame:

@@ -5,10 +5,15 @@ Finding ids are unique within a series and side only, so every key holds the ser
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from findmark.sources.scratch import stored
 
@@ -54,12 +59,59 @@ def size_given_elsewhere(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("size_elsewhere", F.size(F.array_except(givers, F.array("pred_id"))) > 0)
 
 
-def match_components(matches: DataFrame) -> DataFrame:
-    """Links with ``component``: the smallest tagged id of the connected findings of their series.
+#: Links of a series up to which one task joins them; larger series go through rounds over the cluster.
+LARGE = 1_000_000
+
 
-    All findings of a label take the smallest label next to any of them, and then that label's own new label, until none
-    moves.
+def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by series, whole series at a time, with the component of each link.
+
+    A component's name is its smallest tagged id, which is that of a reference finding, as a link has one.
     """
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        code = lambda side: pc.dictionary_encode(pc.binary_join_element_wise(table["series_uuid"], table[f"{side}_id"], "\0").combine_chunks())
+        preds, gts = code("pred"), code("gt")
+        p, names = preds.indices.to_numpy(), gts.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        g = rank[gts.indices.to_numpy()]
+        label = np.arange(len(order))
+        while True:  # the labels of both ends meet, then each label takes its own label's
+            low = np.full(len(preds.dictionary), len(order))
+            np.minimum.at(low, p, label[g])
+            new = label.copy()
+            np.minimum.at(new, g, low[p])
+            np.minimum.at(new, label[g], low[p])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        at = np.empty(len(order), np.int64)
+        at[g] = np.arange(len(g))  # a link of each reference finding
+        roots = table["gt_id"].take(pa.array(at[label[g]]))
+        yield from table.append_column("component", pc.binary_join_element_wise("g:", roots, "")).combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        names = batch.column("series_uuid")
+        if size >= 50_000 and batch.num_rows and names[-1] != held[-1].column("series_uuid")[-1]:
+            last = held[-1].column("series_uuid")[-1]
+            cut = pc.sum(pc.equal(names, last)).as_py() or 0
+            yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held, size, batch = [], 0, batch.slice(cut)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
+def _spread_components(matches: DataFrame) -> DataFrame:
+    """The same by rounds of joins: all findings of a label take the smallest label next to any of them, and then that
+    label's own new label, until none moves."""
     edge = matches.select("series_uuid", F.concat(F.lit("p:"), "pred_id").alias("a"), F.concat(F.lit("g:"), "gt_id").alias("b")).distinct()
     both = stored(edge.union(edge.select("series_uuid", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy("series_uuid", F.col("a").alias("v")).agg(F.min("b").alias("m")).select("series_uuid", "v", F.least("v", "m").alias("root")), "labels")
@@ -76,34 +128,60 @@ def match_components(matches: DataFrame) -> DataFrame:
     return matches.join(own, ["series_uuid", "pred_id"])
 
 
+def match_components(matches: DataFrame, large: int = LARGE) -> DataFrame:
+    """Links with ``component``: the smallest tagged id of the connected findings of their series.
+
+    A component never leaves its series, so links are dealt by series once and joined there; series of more than ``large``
+    links, if any, go through rounds over the cluster instead, with the same result.  Links without a series or an id on
+    either side are left out.
+    """
+    matches = matches.where("series_uuid is not null and pred_id is not null and gt_id is not null")
+    matches = matches if hasattr(matches, "_stored_at") else stored(matches, "links")
+    big = [r[0] for r in matches.groupBy("series_uuid").count().where(F.col("count") > large).select("series_uuid").limit(10_000).collect()]
+    schema = StructType([*matches.schema.fields, StructField("component", StringType())])
+    local = lambda df: df.repartition("series_uuid").sortWithinPartitions("series_uuid").mapInArrow(_local_components, schema)
+    if not big:
+        return local(matches)
+    if len(big) == 10_000:  # too many to name
+        return _spread_components(matches).select(*schema.names)
+    is_big = F.col("series_uuid").isin(big)
+    return local(matches.where(~is_big)).unionByName(_spread_components(matches.where(is_big)))
+
+
 def match_groups(matches: DataFrame) -> DataFrame:
     """Each link with the sorted ids of both sides of its component."""
-    linked = match_components(matches)
-    groups = linked.groupBy("series_uuid", "component").agg(F.sort_array(F.collect_set("pred_id")).alias("group_preds"), F.sort_array(F.collect_set("gt_id")).alias("group_gts"))
-    return linked.join(groups, ["series_uuid", "component"])
-
-
-def group_context(groups: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Each link with the texts of the other findings of its component, in order of their ids."""
-    out = groups
-    for side, table, own in (("pred", pred, "pred_id"), ("gt", gt, "gt_id")):
-        texts = table.select("series_uuid", F.col("finding_id").alias("other"), F.col("text").alias("other_text"))
-        ids = groups.select("series_uuid", "pred_id", "gt_id", F.explode(f"group_{side}s").alias("other")).where(F.col("other") != F.col(own))
-        told = ids.join(texts, ["series_uuid", "other"]).groupBy("series_uuid", "pred_id", "gt_id").agg(F.sort_array(F.collect_list(F.struct("other", "other_text"))).alias("t"))
-        out = out.join(told.select("series_uuid", "pred_id", "gt_id", F.transform("t", lambda x: x["other_text"]).alias(f"same_group_{side}")), ["series_uuid", "pred_id", "gt_id"], "left")
-    return out
+    own = Window.partitionBy("series_uuid", "component")
+    return match_components(matches).select("*", *(F.sort_array(F.collect_set(f"{s}_id").over(own)).alias(f"group_{s}s") for s in ("pred", "gt")))
+
 
+def _members(linked: DataFrame, pred: DataFrame, gt: DataFrame, *columns: str) -> DataFrame:
+    """The findings of each component, once each: ``series_uuid, component, side, id`` and ``columns`` of the findings."""
+    ends = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id")) for s in ("pred", "gt")))).alias("e")
+    ids = linked.select("series_uuid", "component", ends).select("series_uuid", "component", "e.side", "e.id").distinct()
+    of = lambda df, s: df.select("series_uuid", F.lit(s).alias("side"), F.col("finding_id").alias("id"), *columns)
+    return ids.join(of(pred, "pred").unionByName(of(gt, "gt")), ["series_uuid", "side", "id"])
 
-def group_sides(groups: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Each link with ``p_group`` and ``g_group``: the union of the sides of the component's abnormal findings."""
-    comps = groups.select("series_uuid", "component", "group_preds", "group_gts").dropDuplicates(["series_uuid", "component"])
-    out = groups
-    for x, side, table in (("p", "preds", pred), ("g", "gts", gt)):
-        own = table.where("clinical_status = 'abnormal'").select("series_uuid", F.col("finding_id").alias("id"), "laterality")
-        members = comps.select("series_uuid", "component", F.explode(f"group_{side}").alias("id")).join(own, ["series_uuid", "id"])
-        has = lambda v: F.coalesce(F.bool_or(F.col("laterality") == v), F.lit(False))
-        union = F.when(has("bilateral") | (has("left") & has("right")), "bilateral").when(has("left"), "left").when(has("right"), "right")
-        out = out.join(members.groupBy("series_uuid", "component").agg(union.alias(f"{x}_group")), ["series_uuid", "component"], "left")
+
+def group_context(linked: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """Each link with the texts of the other findings of its component, in order of their ids; null where there are none.
+
+    Texts are gathered once for each component, and a link takes its own out of that list.
+    """
+    told = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("id", "text")))).alias(f"t_{s}")
+    groups = _members(linked, pred, gt, "text").groupBy("series_uuid", "component").agg(told("pred"), told("gt"))
+    rest = lambda s: F.transform(F.filter(f"t_{s}", lambda x: x["id"] != F.col(f"{s}_id")), lambda x: x["text"])
+    out = linked.join(groups, ["series_uuid", "component"], "left")
+    return out.select(*linked.columns, *(F.when(F.size(rest(s)) > 0, rest(s)).alias(f"same_group_{s}") for s in ("pred", "gt")))
+
+
+def group_sides(pairs: DataFrame) -> DataFrame:
+    """Pairs of linked findings, with their ``component``, and ``p_group`` and ``g_group``: the union of the sides of the
+    component's abnormal findings."""
+    own = Window.partitionBy("series_uuid", "component")
+    out = pairs
+    for x in ("p", "g"):
+        has = lambda v, x=x: F.coalesce(F.bool_or((F.col(f"{x}_clinical_status") == "abnormal") & (F.col(f"{x}_laterality") == v)).over(own), F.lit(False))
+        out = out.withColumn(f"{x}_group", F.when(has("bilateral") | (has("left") & has("right")), "bilateral").when(has("left"), "left").when(has("right"), "right"))
     return out
 
 

@@ -9,7 +9,7 @@ from findmark import schema
 from findmark.functions import comparators as C
 from findmark.functions import normalize as N
 from findmark.functions import outcomes as K
-from findmark.operators import links, metrics
+from findmark.operators import links, metrics, scoring
 from findmark.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -173,7 +173,7 @@ def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l.series_uuid, l.pred_id, l.gt_id, string_agg(f.text, '|' ORDER BY f.finding_id) FILTER (f.side = 'pred' AND f.finding_id <> l.pred_id) AS same_group_pred, string_agg(f.text, '|' ORDER BY f.finding_id) FILTER (f.side = 'gt' AND f.finding_id <> l.gt_id) AS same_group_gt
   FROM linked l JOIN members m ON l.series_uuid = m.series_uuid AND l.component = m.component JOIN findings f ON f.series_uuid = m.series_uuid AND f.side = m.side AND f.finding_id = m.finding_id GROUP BY 1, 2, 3""")
 def group_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = links.group_context(links.match_groups(X.matches(spark, sf_dir)), X.findings(spark, sf_dir, "pred"), X.findings(spark, sf_dir, "gt"))
+    out = links.group_context(links.match_components(X.matches(spark, sf_dir)), X.findings(spark, sf_dir, "pred"), X.findings(spark, sf_dir, "gt"))
     return out.select("series_uuid", "pred_id", "gt_id", F.array_join("same_group_pred", "|").alias("same_group_pred"), F.array_join("same_group_gt", "|").alias("same_group_gt"))
 
 
@@ -193,7 +193,7 @@ def two_hop_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.siblings(X.matches(spark, sf_dir))
 
 
-@query("SELECT series_uuid, component, pred_id, gt_id FROM linked l WHERE EXISTS (SELECT 1 FROM linked h WHERE h.series_uuid = l.series_uuid AND h.component = l.component AND h.gt_id LIKE '%_002')")
+@query("""SELECT series_uuid, component, pred_id, gt_id FROM linked WHERE (series_uuid, component) IN (SELECT (l.series_uuid, l.component) FROM linked l JOIN gt ON l.series_uuid = gt.series_uuid AND l.gt_id = gt.finding_id WHERE gt.pos = 2)""")
 def component_of_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = X.findings(spark, sf_dir, "gt").where("pos = 2").select("series_uuid", "side", "finding_id")
     return links.component_of(links.match_components(X.matches(spark, sf_dir)), chosen).select("series_uuid", "component", "pred_id", "gt_id")
@@ -218,7 +218,7 @@ def status_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT series_uuid, pred_id, gt_id, 0 AS n FROM pairs WHERE p_clinical_status = 'normal' AND g_clinical_status = 'normal'")
 def both_normal_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.with_structured_errors(X.grouped_pairs(spark, sf_dir)).where("p_clinical_status = 'normal' AND g_clinical_status = 'normal'")
+    rows = scoring.with_structured_errors(X.grouped_pairs(spark, sf_dir)).where("p_clinical_status = 'normal' AND g_clinical_status = 'normal'")
     return rows.select("series_uuid", "pred_id", "gt_id", F.size("structured_errors").alias("n"))
 
 
@@ -302,7 +302,7 @@ def sorted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FLAT_SQL.format(w=""))
 def structured_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(X.with_structured_errors(X.grouped_pairs(spark, sf_dir)), "structured_errors")
+    return _flat(scoring.with_structured_errors(X.grouped_pairs(spark, sf_dir)), "structured_errors")
 
 
 @query("SELECT series_uuid, pred_id, gt_id, dimension, severity, count(*) AS n FROM text_errors GROUP BY 1, 2, 3, 4, 5")
@@ -382,28 +382,28 @@ def contradicted_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_scope_sql()} SELECT * FROM muc")
 def muc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.muc_counts(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir))
+    return metrics.muc_counts(*X.scored(spark, sf_dir))
 
 
 @query("""SELECT count(DISTINCT (series_uuid, pred_id)) AS evaluated_pred, count(DISTINCT (series_uuid, gt_id)) AS evaluated_gt, count(DISTINCT (series_uuid, pred_id)) + (SELECT count(*) FROM orphans WHERE side = 'pred') AS total_pred,
   count(DISTINCT (series_uuid, gt_id)) + (SELECT count(*) FROM orphans WHERE side = 'gt') AS total_gt FROM records""")
 def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.distinct_findings(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir))
+    return metrics.distinct_findings(*X.scored(spark, sf_dir))
 
 
 @query(f"{_scope_sql()} SELECT tier, fn_mis, fn_inc, fp_spu, fp_inc, fn, fp, errors FROM rated")
 def tier_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.tier_metrics(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir)).select("tier", "fn_mis", "fn_inc", "fp_spu", "fp_inc", "fn", "fp", "errors")
+    return metrics.tier_metrics(*X.scored(spark, sf_dir)).select("tier", "fn_mis", "fn_inc", "fp_spu", "fp_inc", "fn", "fp", "errors")
 
 
 @query(f"{_scope_sql()} SELECT tier, findings_at_stake FROM rated")
 def findings_at_stake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.tier_metrics(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir)).select("tier", "findings_at_stake")
+    return metrics.tier_metrics(*X.scored(spark, sf_dir)).select("tier", "findings_at_stake")
 
 
 @query(f"{_scope_sql()} SELECT {_R6_SQL} FROM rated")
 def tier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.tier_metrics(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir)))
+    return _rounded(metrics.tier_metrics(*X.scored(spark, sf_dir)))
 
 
 _PER_REPORT_SQL = ", ".join(f"round({c} / (SELECT count(*) FROM series), 6) AS {c}_per_report" for c in ("errors", "fn", "fp"))
@@ -411,7 +411,7 @@ _PER_REPORT_SQL = ", ".join(f"round({c} / (SELECT count(*) FROM series), 6) AS {
 
 @query(f"{_scope_sql()} SELECT {_R6_SQL}, {_PER_REPORT_SQL} FROM rated")
 def tiers_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.tier_metrics(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir))
+    out = metrics.tier_metrics(*X.scored(spark, sf_dir))
     n = X.series(spark, sf_dir).agg(F.count("*").alias("n_reports"))
     return _rounded(metrics.per_report_rates(out.crossJoin(n), F.col("n_reports")).drop("n_reports"))
 
@@ -423,14 +423,14 @@ def per_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _per_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, orphans, series = X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir), X.series(spark, sf_dir)
+    (records, orphans), series = X.scored(spark, sf_dir), X.series(spark, sf_dir)
     tiers = metrics.tier_metrics(records, orphans, ["series_uuid"], series).select("series_uuid", "tier", "errors", "fn", "fp", "findings_at_stake")
     return tiers.join(metrics.muc_counts(records, orphans, ["series_uuid"]), "series_uuid", "left").fillna(0, list(schema.OUTCOMES))
 
 
 @query(f"""{_scope_sql('subset')} SELECT x.*, COR, PAR, INC, MIS, SPU FROM (SELECT {_R6_SQL} FROM rated) x JOIN muc USING (subset)""")
 def subset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, orphans = metrics.by_subset(X.score_pairs(spark, sf_dir), X.orphans(spark, sf_dir))
+    records, orphans = metrics.by_subset(*X.scored(spark, sf_dir))
     return _rounded(metrics.tier_metrics(records, orphans, ["subset"])).join(metrics.muc_counts(records, orphans, ["subset"]), "subset")
 
 

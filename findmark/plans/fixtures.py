@@ -6,13 +6,12 @@ line number.  ``k``, ``s`` and ``q`` are the line's part, supplier and quantity.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findmark.functions import comparators as C
-from findmark.functions import normalize as N
-from findmark.functions import outcomes as K
-from findmark.operators import links
+from findmark.operators import links, scoring
 from findmark.sources.scratch import stored
 
 _SIG = "CASE ({x}) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'urgent' WHEN 2 THEN 'notable' ELSE 'routine' END"
@@ -58,6 +57,28 @@ def _measurements(side: str, engine: str) -> str:
     return join.format(a=f"CASE WHEN {one} THEN {first} ELSE {none} END", b=f"CASE WHEN {two} THEN {second} ELSE {none} END")
 
 
+#: Derived tables by name and folder, for a run of many queries that sets this to a dict; else each query derives its own.
+shared: dict | None = None
+
+
+def _once(f):
+    """``f``, whose tables are kept in ``shared`` while that is a dict."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str):
+        if shared is None:
+            return f(spark, sf_dir)
+        key = f.__name__, sf_dir
+        if key not in shared:
+            out = f(spark, sf_dir)
+            keep = lambda df: df if hasattr(df, "_stored_at") else stored(df, f.__name__)
+            shared[key] = tuple(map(keep, out)) if isinstance(out, tuple) else keep(out)
+        return shared[key]
+
+    return run
+
+
+@_once
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order and line number; the raw table repeats some."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("int").alias("n")).agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("double").alias("q"))
@@ -65,24 +86,40 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(names, "k", "left").withColumn("name", F.coalesce("name", F.lit("part")))
 
 
-def findings(spark: SparkSession, sf_dir: str, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    own = base(spark, sf_dir).where(KEEP[side])
-    return own.selectExpr(
+def _side(own: DataFrame, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    return own.where(KEEP[side]).selectExpr(
         "CAST(o AS string) AS series_uuid", f"'{side}' AS side", "n AS pos", "CAST(o AS string) || '_' || lpad(CAST(n AS string), 3, '0') AS finding_id",
         *(f"{e} AS {c}" for c, e in SCALARS[side].items()), f"{_measurements(side, 'spark')} AS measurements", *extra,
     )
 
 
+def findings(spark: SparkSession, sf_dir: str, side: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    return _side(base(spark, sf_dir), side, extra)
+
+
 def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir, "gt").unionByName(findings(spark, sf_dir, "pred"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _links(own: DataFrame) -> DataFrame:
     """Links between the same slots, and to the next slot where ``k % 13 = 0``: groups and chains."""
-    p = findings(spark, sf_dir, "pred", ("k", "s", "q")).select("series_uuid", "pos", F.col("finding_id").alias("pred_id"), "k", "s", "q")
-    g = findings(spark, sf_dir, "gt").select("series_uuid", "pos", F.col("finding_id").alias("gt_id"))
+    name = "CAST(o AS string) || '_' || lpad(CAST({n} AS string), 3, '0')"
+    p = own.where(KEEP["pred"]).selectExpr("CAST(o AS string) AS series_uuid", "n AS pos", f"{name.format(n='n')} AS pred_id", "k", "s", "q")
+    g = own.where(KEEP["gt"]).selectExpr("CAST(o AS string) AS series_uuid", "n AS to", f"{name.format(n='n')} AS gt_id")
     p = p.withColumn("to", F.explode(F.when(F.col("k") % 13 == 0, F.array("pos", F.col("pos") + 1)).otherwise(F.array("pos"))))
-    return p.join(g.withColumnRenamed("pos", "to"), ["series_uuid", "to"]).select("series_uuid", "pred_id", "gt_id", "pos", "to", "k", "s", "q")
+    return p.join(g, ["series_uuid", "to"]).select("series_uuid", "pred_id", "gt_id", "pos", "to", "k", "s", "q")
+
+
+@_once
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(base(spark, sf_dir))
+
+
+@_once
+def kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(findings, matches)`` of both sides, derived once and kept as tables."""
+    own = stored(base(spark, sf_dir), "base")
+    return stored(_side(own, "gt").unionByName(_side(own, "pred")), "findings"), stored(_links(own), "matches")
 
 
 #: Text errors of a link: when, dimension, severity.
@@ -94,47 +131,40 @@ def text_errors() -> F.Column:
     return F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {w} THEN {one(d, s)} END" for w, d, s in TEXT_ERRORS) + "))")
 
 
-def pairs(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
-    linked = matches(spark, sf_dir) if linked is None else linked
-    return links.pair_findings(linked, findings(spark, sf_dir, "pred"), findings(spark, sf_dir, "gt"))
+@_once
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(base(spark, sf_dir), "base")
+    return links.pair_findings(_links(own), _side(own, "pred"), _side(own, "gt"))
 
 
+@_once
 def grouped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with the sides of their groups and whether a size is given elsewhere; the links are kept as a table."""
-    m = stored(matches(spark, sf_dir), "matches")
-    p, g = findings(spark, sf_dir, "pred"), findings(spark, sf_dir, "gt")
-    sides = links.group_sides(links.match_groups(m), p, g).select("series_uuid", "pred_id", "gt_id", "p_group", "g_group")
-    return links.size_given_elsewhere(pairs(spark, sf_dir, m)).join(sides, ["series_uuid", "pred_id", "gt_id"])
+    """Pairs with the sides of their groups and whether a size is given elsewhere."""
+    return scoring.linked_pairs(*kept(spark, sf_dir))
 
 
-def with_structured_errors(rows: DataFrame) -> DataFrame:
-    c = F.col
-    side = C.laterality_severity(c("p_laterality"), c("g_laterality"), c("p_group"), c("g_group"), c("p_clinical_significance"), c("g_clinical_significance"))
-    measured = C.measurement_errors(c("p_measurements"), c("g_measurements"), c("size_elsewhere"))
-    errors = C.structured_errors(c("p_clinical_status"), c("g_clinical_status"), side, c("p_laterality"), c("g_laterality"), c("p_comparison"), c("g_comparison"), measured)
-    return rows.withColumn("structured_errors", errors)
+def _records(found: DataFrame, linked: DataFrame) -> DataFrame:
+    rows = scoring.with_structured_errors(scoring.linked_pairs(found, linked))
+    told = F.when(F.col("needs_judge"), text_errors()).otherwise(F.filter(text_errors(), lambda _: F.lit(False)))
+    return stored(scoring.records(rows.withColumn("errors", told)), "records")
 
 
+@_once
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per link with both error lists and its effective category; kept as a table, as metrics read it often."""
-    rows = with_structured_errors(grouped_pairs(spark, sf_dir))
-    judged = N.needs_judge("p_clinical_status", "g_clinical_status", "p_text", "g_text")
-    rows = rows.withColumn("raw_text_errors", F.when(judged, text_errors()).otherwise(F.filter(text_errors(), lambda _: F.lit(False))))
-    rows = rows.withColumn("text_errors", K.without_double_verdicts(F.col("raw_text_errors"), F.col("structured_errors")))
-    found = K.category(F.col("structured_errors"), F.col("text_errors"))
-    records = rows.select(
-        "series_uuid", "pred_id", "gt_id", found.alias("muc_category"), K.inc_triggered(F.col("structured_errors")).alias("inc_triggered"),
-        K.effective(found, F.col("structured_errors"), F.col("text_errors"), F.col("g_clinical_significance")).alias("category"),
-        F.col("g_clinical_significance").alias("gt_sig"), F.col("p_clinical_significance").alias("pred_sig"), "structured_errors", "text_errors",
-        N.subsets("g_clinical_status", "g_comparison", "g_measurements").alias("gt_subsets"),
-    )
-    return stored(records, "records")
+    return _records(*kept(spark, sf_dir))
 
 
+@_once
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
-    rest = [links.orphans(findings(spark, sf_dir, s), m, s) for s in ("gt", "pred")]
-    return rest[0].unionByName(rest[1]).withColumn("subsets", N.subsets())
+    return scoring.orphans(*kept(spark, sf_dir))
+
+
+@_once
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(records, orphans)``, both kept as tables."""
+    found, linked = kept(spark, sf_dir)
+    return _records(found, linked), stored(scoring.orphans(found, linked), "orphans")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from findmark.functions import normalize as N
 from findmark.functions import rules as R
 from findmark.operators import judge as J
-from findmark.operators import matcher
+from findmark.operators import links, matcher, scoring
+from findmark.plans import core
 from findmark.plans import fixtures as X
 from findmark.plans.core import query
 from findmark.sources.scratch import stored
@@ -59,13 +60,26 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHUNKS = f"""chunks AS (SELECT *, ((n - 1) // 10)::INT AS chunk, ((n - 1) % 10 + 1)::INT AS pair_id FROM (SELECT *, row_number() OVER (PARTITION BY series_uuid ORDER BY pos, "to") AS n FROM (SELECT *, {X.NEEDS_JUDGE} AS judged FROM pairs) WHERE judged))"""
 
 
-@query(f", {_CHUNKS} SELECT series_uuid, chunk, count(*)::INT AS n_pairs, string_agg(p_text, '|' ORDER BY pair_id) AS texts FROM chunks GROUP BY 1, 2")
+def _told_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the pairs to be judged, with the other texts of their groups."""
+    found, linked = X.kept(spark, sf_dir)
+    rows = scoring.with_structured_errors(scoring.linked_pairs(found, linked))
+    rows = rows.withColumn("match_idx", F.row_number().over(Window.partitionBy("series_uuid").orderBy("pos", "to")) - 1)
+    return J.attribute_chunks(links.group_context(rows, *scoring.sides(found)))
+
+
+_CONTEXT = """ctx AS (SELECT l.series_uuid, l.pred_id, l.gt_id, string_agg(f.text, '+' ORDER BY f.finding_id) FILTER (f.side = 'pred' AND f.finding_id <> l.pred_id) AS cp, string_agg(f.text, '+' ORDER BY f.finding_id) FILTER (f.side = 'gt' AND f.finding_id <> l.gt_id) AS cg
+  FROM linked l JOIN members m ON l.series_uuid = m.series_uuid AND l.component = m.component JOIN findings f ON f.series_uuid = m.series_uuid AND f.side = m.side AND f.finding_id = m.finding_id GROUP BY 1, 2, 3)"""
+
+
+@query(f""", {_CHUNKS}, {_CONTEXT} SELECT c.series_uuid, chunk, count(*)::INT AS n_pairs, string_agg(p_text, '|' ORDER BY pair_id) AS texts, string_agg(coalesce(cp, '') || '/' || coalesce(cg, ''), '|' ORDER BY pair_id) AS contexts, any_value(o_orderpriority) AS indication
+  FROM chunks c JOIN ctx x ON c.series_uuid = x.series_uuid AND c.pred_id = x.pred_id AND c.gt_id = x.gt_id LEFT JOIN (SELECT o_orderkey::VARCHAR AS ok, min(o_orderpriority) AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) o ON o.ok = c.series_uuid GROUP BY 1, 2""")
 def build_attribute_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("array<string>")
-    chunks = J.attribute_chunks(_judged(spark, sf_dir)).withColumn("same_group_pred", none).withColumn("same_group_gt", none)
-    out = J.attribute_requests(chunks, _SYSTEM)
-    back = F.from_json(F.element_at("messages", -1)["content"], "struct<pairs:array<struct<pair_id:int,pred:string,gt:string>>>")
-    return out.select("series_uuid", "chunk", "n_pairs", F.array_join(F.transform(back["pairs"], lambda p: p["pred"]), "|").alias("texts"))
+    out = J.attribute_requests(_told_chunks(spark, sf_dir), _SYSTEM, _orders(spark, sf_dir))
+    back = F.from_json(F.element_at("messages", -1)["content"], "struct<indication:string,pairs:array<struct<pair_id:int,pred:string,gt:string,same_group_pred:array<string>,same_group_gt:array<string>>>>")
+    told = lambda p, s: F.array_join(F.coalesce(p[f"same_group_{s}"], F.array().cast("array<string>")), "+")
+    out = out.withColumn("x", back)
+    return out.select("series_uuid", "chunk", "n_pairs", F.array_join(F.transform("x.pairs", lambda p: p["pred"]), "|").alias("texts"), F.array_join(F.transform("x.pairs", lambda p: F.concat(told(p, "pred"), F.lit("/"), told(p, "gt"))), "|").alias("contexts"), "x.indication")
 
 
 def _length_judge(messages: list[dict]) -> str:
@@ -78,7 +92,7 @@ def _length_judge(messages: list[dict]) -> str:
 
 @query("""SELECT doc_id::VARCHAR AS series_uuid, CASE WHEN length(text) % 7 <> 0 THEN '{"indication": "' || length(text) || '"}' END AS reply, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: not today' END AS error, CASE WHEN length(text) % 7 = 0 THEN 5 ELSE 1 END AS attempts FROM documents""")
 def call_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.call_judge(J.indication_requests(_reports(spark, sf_dir), _SYSTEM), _length_judge, ["series_uuid"])
+    return J.call_judge(J.indication_requests(_reports(spark, sf_dir), _SYSTEM), _length_judge, ["series_uuid"]).drop("usage")
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,15 +210,42 @@ def parse_attribute_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f", {_CHUNKS} SELECT series_uuid, pred_id, gt_id FROM chunks")
 def attribute_retry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def ask(chunks: DataFrame, attempt: int) -> DataFrame:
-        sizes = chunks.groupBy("series_uuid", "chunk", "part").agg(F.count("*").alias("n"))
-        item = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit('{"pair_id": '), i.cast("string"), F.lit(', "errors": []}')))
-        return sizes.select("series_uuid", "chunk", "part", F.when(F.col("n") <= 3, F.concat(F.lit('{"errors_per_pair": ['), F.array_join(item, ", "), F.lit("]}"))).otherwise("{}").alias("reply"))
+    def ask(requests: DataFrame, attempt: int) -> DataFrame:
+        item = F.transform("asked", lambda p: F.concat(F.lit('{"pair_id": '), p["pair_id"].cast("string"), F.lit(', "errors": []}')))
+        return requests.withColumn("reply", F.when(F.col("n_pairs") <= 3, F.concat(F.lit('{"errors_per_pair": ['), F.array_join(item, ", "), F.lit("]}"))).otherwise("{}"))
 
-    answers, _ = J.judge_with_splits(J.attribute_chunks(_judged(spark, sf_dir)).select("series_uuid", "chunk", "pair_id", "pred_id", "gt_id"), ask, retries=0)
+    null = F.lit(None).cast("array<string>")
+    answers, _ = J.judge_with_splits(J.attribute_chunks(_judged(spark, sf_dir)).withColumn("same_group_pred", null).withColumn("same_group_gt", null), ask, retries=0)
     return answers.select("series_uuid", "pred_id", "gt_id")
 
 
+@query(f"{core._scope_sql()} SELECT {core._R6_SQL} FROM rated")
+def audit_with_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From findings to the tier table: matching with retries, judging with retries and splits, scoring and the summary.
+
+    The recorded matcher's first answers have no matches; the recorded judge's first answers are no JSON, and it never
+    answers more than three pairs at once.
+    """
+    found, linked = X.kept(spark, sf_dir)
+    right = stored(_answer_parts(spark, sf_dir), "answers")
+    full = F.concat(F.lit("["), F.array_join("gt", ", "), F.lit("]"))
+
+    def match(requests: DataFrame, attempt: int) -> DataFrame:
+        return requests.select("series_uuid").join(right, "series_uuid").select("series_uuid", (F.lit('{"matches": []}') if attempt == 0 else _answer("m", "pred", full)).alias("reply"))
+
+    out = J.match_with_retries(J.finding_lists(found), _orders(spark, sf_dir), _SYSTEM, match)
+    matched = stored(out.select("series_uuid", F.inline("pairs")).join(linked, ["series_uuid", "pred_id", "gt_id"]), "matched")
+
+    def judge(requests: DataFrame, attempt: int) -> DataFrame:
+        pairs = requests.select("series_uuid", "chunk", "part", "n_pairs", F.explode("asked").alias("a")).select("series_uuid", "chunk", "part", "n_pairs", "a.*")
+        item = F.struct("pair_id", X.text_errors().alias("errors"))
+        body = pairs.join(linked, ["series_uuid", "pred_id", "gt_id"]).groupBy("series_uuid", "chunk", "part", "n_pairs").agg(F.to_json(F.struct(F.collect_list(item).alias("errors_per_pair"))).alias("body"))
+        return body.withColumn("reply", F.when((F.col("n_pairs") <= 3) & F.lit(attempt > 0), F.col("body")).otherwise("no JSON"))
+
+    whole = scoring.audit(found, matched, ask=judge, indications=_orders(spark, sf_dir), system=_SYSTEM, retries=1)
+    return core._rounded(whole.tiers)
+
+
 @query(f"""SELECT p.series_uuid, p.pred_id, p.gt_id, (CASE WHEN {X.NEEDS_JUDGE} THEN {" + ".join(f"(k % {w.split()[2]} = 0)::INT" for w, _, _ in X.TEXT_ERRORS)} ELSE 0 END)::INT AS n FROM pairs p""")
 def scatter_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _judged(spark, sf_dir)

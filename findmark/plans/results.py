@@ -75,7 +75,7 @@ def write_stage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return X.score_pairs(spark, sf_dir), stored(X.orphans(spark, sf_dir), "orphans")
+    return X.scored(spark, sf_dir)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:

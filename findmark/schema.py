@@ -1,6 +1,7 @@
 """Values, tiers and table schemas of the audit.
 
-Fixed values: enumerations, unit spellings, unit factors and list prices have to be these for results to be right.
+Fixed values: enumerations, the list of dimensions, unit spellings and factors, thresholds and the pattern of hedges have to
+be these for results to be right.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findmark.functions import comparators as C
-from findmark.operators import links, metrics
+from findmark.operators import metrics, scoring
 
 FIELDS = "series_uuid string, side string, finding_id string, text string, clinical_status string, clinical_significance string, laterality string, comparison string, measurements array<struct<value:double,unit:string,category:string>>"
 
@@ -25,22 +25,10 @@ def scored(spark):
         ("s5", "pred", "a", "clear", "normal", "routine", None, None, []),
     ]
     findings = spark.createDataFrame(rows, FIELDS)
-    gt, pred = findings.where("side = 'gt'"), findings.where("side = 'pred'")
     matches = spark.createDataFrame([(s, "a", "a") for s in ("s1", "s2", "s3")], "series_uuid string, pred_id string, gt_id string")
-    pairs = links.size_given_elsewhere(links.pair_findings(matches, pred, gt))
-    c = F.col
-    side = C.laterality_severity(c("p_laterality"), c("g_laterality"), c("p_laterality"), c("g_laterality"), c("p_clinical_significance"), c("g_clinical_significance"))
-    measured = C.measurement_errors(c("p_measurements"), c("g_measurements"), c("size_elsewhere"))
-    errors = C.structured_errors(c("p_clinical_status"), c("g_clinical_status"), side, c("p_laterality"), c("g_laterality"), c("p_comparison"), c("g_comparison"), measured)
-    from findmark.functions import normalize as N
-    from findmark.functions import outcomes as K
-
-    none = F.array().cast("array<struct<dimension:string,severity:string,reasoning:string>>")
-    rows = pairs.withColumn("structured_errors", errors).withColumn("text_errors", none)
-    found = K.category(c("structured_errors"), c("text_errors"))
-    records = rows.select("series_uuid", "pred_id", "gt_id", K.effective(found, c("structured_errors"), c("text_errors"), c("g_clinical_significance")).alias("category"), c("g_clinical_significance").alias("gt_sig"), c("p_clinical_significance").alias("pred_sig"), "structured_errors", "text_errors", N.subsets("g_clinical_status", "g_comparison", "g_measurements").alias("gt_subsets"))
-    orphans = links.orphans(gt, matches, "gt").unionByName(links.orphans(pred, matches, "pred")).withColumn("subsets", N.subsets())
-    return records.cache(), orphans.cache()
+    whole = scoring.audit(findings.withColumn("pos", F.lit(1)), matches)
+    assert whole.failures.count() == 0
+    return whole.records, whole.orphans
 
 
 def test_counts(scored):

@@ -1,10 +1,11 @@
-"""Long chains of links and large chunks of a judge."""
+"""Components of links, chunks of a judge and its calls."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from findmark.operators import judge, links
+from findmark.operators import judge, links, metrics
 
 
 def test_components_of_a_long_chain(spark):
@@ -14,8 +15,59 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == len(rows) and {(r.series_uuid, r.component) for r in got} == {("s", "g:0000"), ("t", "g:5")}
 
 
-def test_a_chunk_of_bad_replies_fails_whole(spark):
-    chunks = spark.range(1, 301).select(F.lit("s").alias("series_uuid"), F.lit(0).alias("chunk"), F.col("id").cast("int").alias("pair_id"), F.col("id").cast("string").alias("pred_id"), F.lit("g").alias("gt_id"))
-    ask = lambda c, attempt: c.select("series_uuid", "chunk", "part").distinct().withColumn("reply", F.lit("bad"))
-    answers, failures = judge.judge_with_splits(chunks, ask, retries=0)
-    assert answers.count() == 0 and {int(r.pred_id) for r in failures.collect()} == set(range(1, 301))
+def test_components_like_union_find(spark):
+    rnd = random.Random(2)
+    rows = sorted({(f"s{rnd.randint(0, 20)}", f"{rnd.randint(0, 30):02}", f"{rnd.randint(0, 30):02}") for _ in range(500)})
+    top = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    for s, p, g in rows:
+        a, b = sorted((root((s, f"p:{p}")), root((s, f"g:{g}"))))
+        top[b] = a
+    wanted = sorted((*r, root((r[0], f"g:{r[2]}"))[1]) for r in rows)
+    df = spark.createDataFrame([*rows, ("s1", None, "00"), (None, "00", "00")], "series_uuid string, pred_id string, gt_id string")
+    for large in (links.LARGE, 20, 0):  # all in tasks, some and all over the cluster
+        assert sorted(map(tuple, links.match_components(df, large).collect())) == wanted
+    assert links.match_components(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "good"), [(1, 0), (300, 0), (10, 4), (7, 7)])
+def test_each_pair_is_answered_or_fails(spark, size, good):
+    """Replies are right for up to ``good`` pairs at once, unless pair 3 is among them."""
+    chunks = spark.range(1, size + 1).select(F.lit("s").alias("series_uuid"), F.lit(0).alias("chunk"), F.col("id").cast("int").alias("pair_id"), F.col("id").cast("string").alias("pred_id"), F.lit("g").alias("gt_id"), F.lit("a").alias("p_text"), F.lit("b").alias("g_text"), F.lit(None).cast("array<string>").alias("same_group_pred"), F.lit(None).cast("array<string>").alias("same_group_gt"))
+    seen = []
+
+    def ask(requests, attempt):
+        seen.extend((attempt, r.n_pairs, len(r.messages)) for r in requests.collect())
+        item = F.transform("asked", lambda p: F.concat(F.lit('{"pair_id": '), p["pair_id"].cast("string"), F.lit(', "errors": []}')))
+        right = F.concat(F.lit('{"errors_per_pair": ['), F.array_join(item, ", "), F.lit("]}"))
+        return requests.withColumn("reply", F.when((F.col("n_pairs") <= good) & ~F.exists("asked", lambda p: p["pred_id"] == "3"), right).otherwise("bad"))
+
+    answers, failures = judge.judge_with_splits(chunks, ask, retries=1)
+    got, lost = sorted(int(r.pred_id) for r in answers.collect()), sorted(int(r.pred_id) for r in failures.collect())
+    assert sorted(got + lost) == list(range(1, size + 1)) and lost == (list(range(1, size + 1)) if not good else [3])
+    assert all(n == (3 if attempt else 2) for attempt, _, n in seen)  # the second attempt says what was wrong
+
+
+def test_calls_by_rule(spark):
+    df = spark.createDataFrame([(k, [("user", k)]) for k in ("ok", "empty", "slow", "wrong", "late")], f"k string, messages {judge.MESSAGES}")
+
+    def model(messages):
+        what = messages[-1]["content"]
+        if what == "ok":
+            return "fine", {"model": "m", "uncached_input": 3, "cache_read": 0, "cache_write": 0, "output": 1}
+        if what == "empty":
+            return ""
+        raise {"slow": TimeoutError, "wrong": KeyError, "late": ConnectionError}[what]("x")
+
+    call = lambda **more: {r.k: (r.reply, r.error, r.attempts) for r in judge.call_judge(df, model, ["k"], retryable=(OSError,), threads=3, **more).collect()}
+    got = call()
+    assert got["ok"] == ("fine", None, 1) and got["empty"] == (None, "empty reply", 5) and got["slow"][2] == 5 and got["wrong"] == (None, "KeyError: 'x'", 1) and got["late"][2] == 5
+    assert call(own_timeout=True)["slow"] == (None, "TimeoutError: x", 1)
+    usage = judge.call_judge(df, model, ["k"], retryable=(OSError,)).where("usage is not null").select("usage.*")
+    prices = spark.createDataFrame([("m", 1e6, 2e6, None)], "model string, input double, output double, cached_input double")
+    assert metrics.token_cost(usage, prices).first().token_cost == 5.0

@@ -6,13 +6,17 @@ import os
 import duckdb
 import pytest
 
-from findmark.plans import registry
+from findmark.plans import fixtures, registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: One query of each kind here; ``ALL_QUERIES=1`` runs all.
-SOME = """normalize_finding normalize_measurements needs_judge shared_series orphan_findings match_groups compare_size align_categories structured_errors tier_metrics
-call_judge parse_findings_reply validate_matching parse_attribute_reply lexical_matcher certainty_ladder token_cost fingerprint reuse_matching filter_findings""".split()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared():
+    fixtures.shared = {}  # the derived tables are the same for all queries
+    yield
+    fixtures.shared = None
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +33,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()) if os.environ.get("ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
     result = con.execute(registry.oracle_sql()[name])
@@ -43,4 +47,4 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
-    assert len(registry.queries()) == 116
+    assert len(registry.queries()) == 117
