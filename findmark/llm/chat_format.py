@@ -5,19 +5,21 @@ A formatted conversation is a row of turns,
     <|turn|>role<|body|>content<|end|>
 
 whose content is the turn's parts in order.  Text parts stand as they are, with ``<|`` written ``<||``: control strings
-have a letter after ``<|``, so no text can hold one, and taking one bar from each ``<||`` gives the text back.  An image,
-audio or document part is a placeholder ``<|image:i|>``, where i is its place in the conversation's list of attachments;
-that list has its reference and the number of tokens that it will take.
+have a letter after ``<|``, so no text can hold one, and taking one bar from each ``<||`` gives the text back.  Between two
+text parts stands ``<|text|>``, so their ends form no control string together and they stay apart.  An image, audio or
+document part is a placeholder ``<|image:i|>``, where i is its place in the conversation's list of attachments; that list
+has its reference and the number of tokens that it will take.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+TURN, BODY, END, TEXT = "<|turn|>", "<|body|>", "<|end|>", "<|text|>"
 #: Fields of a part; those that its type does not use are null.
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -46,9 +48,9 @@ def text_part(text: Column | str) -> Column:
     return F.array(F.struct(*fields))
 
 
-def _visit(part: Column, number: Column, expansion: dict) -> Column:
+def _visit(part: Column, number: Column, after_text: Column, expansion: dict) -> Column:
     """What a part leaves in the content; a type that is neither text nor known is refused."""
-    out = F.when(part["type"] == "text", escape(part["text"]))
+    out = F.when(part["type"] == "text", F.concat(F.when(after_text, TEXT).otherwise(""), escape(part["text"])))
     for kind in expansion:
         out = out.when(part["type"] == kind, F.concat(F.lit(f"<|{kind}:"), number.cast("string"), F.lit("|>")))
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(part["type"], F.lit("null")))))
@@ -59,19 +61,23 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
 
     ``formatted`` is its text; ``loss`` has the spans (code points: start, length) of the contents of ``loss_roles``;
     ``attachments`` the other parts (type, ref, tokens) in order; ``attached_tokens`` their tokens in all.  Turns go by
-    ``turn``, then role, then content; null roles and texts are empty, null parts and null contents leave nothing.  Rows
-    without ``conv_id`` are left out.  A conversation is one row, so it has to fit a task's memory.
+    ``turn``, then role, then content (repeated rows each count); a null role is empty; null parts, empty and null texts and
+    null contents leave nothing.  Rows without ``conv_id`` are left out, other columns are not read, and no rows give none.  A
+    conversation is one row, so it has to fit a task's memory, however long its texts are.
     """
     expansion = EXPANSION if expansion is None else expansion
+    if not all(re.fullmatch("[a-z]{1,20}", kind) and kind not in ("turn", "body", "end", "text") for kind in expansion):
+        raise ValueError("the name of a type of part has up to 20 letters a-z and is no name of a control string")
     is_other = lambda p: p["type"] != "text"
-    parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
+    parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull() & ((p["type"] != "text") | (F.length(p["text"]) > 0) | p["type"].isNull()))
     rows = messages.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     rows = rows.withColumn("others", F.size(F.filter("parts", is_other)))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json(F.struct("parts")))
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("seq", F.row_number().over(in_order)).withColumn("number", F.coalesce(F.sum("others").over(before), F.lit(0)))
     nth = lambda i: F.col("number") + F.size(F.filter(F.slice("parts", 1, i), is_other))
-    body = F.array_join(F.transform("parts", lambda p, i: _visit(p, F.when(F.col("others") > 0, nth(i)).otherwise(F.lit(0)), expansion)), "")
+    after_text = lambda i: F.coalesce((i > 0) & (F.get("parts", i - 1)["type"] == "text"), F.lit(False))
+    body = F.array_join(F.transform("parts", lambda p, i: _visit(p, F.when(F.col("others") > 0, nth(i)).otherwise(F.lit(0)), after_text(i), expansion)), "")
     tokens = lambda p: F.coalesce(*(F.when(p["type"] == kind, f(p).cast("long")) for kind, f in expansion.items()), F.lit(0).cast("long"))
     attached = F.transform(F.filter("parts", is_other), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
     rows = rows.select("conv_id", "seq", "role", body.alias("body"), F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)).alias("head"), attached.alias("attached"))
@@ -89,16 +95,38 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     return out.withColumn("attached_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
+def _parts(content: Column) -> Column:
+    """The parts of a content: ``type, text, number``; a control string is ``<|`` before a letter, which no text has."""
+    piece = "struct<type:string,text:string,number:int>"
+    pieces = F.split(content, r"<\|(?=[a-z])")
+    control = lambda p: F.substring_index(p, "|>", 1)
+    rest = lambda p: F.substring(p, F.length(control(p)) + 3, F.length(p))
+    text = lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text"), F.lit(None).cast("int").alias("number")).cast(piece)
+    other = lambda c: F.struct(F.substring_index(c, ":", 1).alias("type"), F.lit(None).cast("string").alias("text"), F.substring_index(c, ":", -1).cast("int").alias("number")).cast(piece)
+    told = lambda t: F.when(F.length(t) > 0, text(t))
+    return F.array_compact(F.flatten(F.transform(pieces, lambda p, i: F.when(i == 0, F.array(told(p))).otherwise(F.array(F.when(control(p) != "text", other(control(p))), told(rest(p)))))))
+
+
+def _texts(parts: Column) -> Column:
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
+
+
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """The turns (role, text) and the text under the loss mask, read back from ``format_chats``'s output alone."""
+    """What ``format_chats`` was given, read back from its output alone.
+
+    ``turns`` has each turn's role, its text parts joined as ``text``, and its ``parts`` (type, text, ref, tokens), without
+    those that left nothing; ``loss_text`` is all text under the loss mask.
+    """
     turns = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2_000_000_000)
     role = lambda t: F.substring_index(t, BODY, 1)
-    text = lambda t: F.substring(t, F.length(role(t)) + len(BODY) + 1, F.length(t) - F.length(role(t)) - len(BODY) - len(END))
+    content = lambda t: F.substring(t, F.length(role(t)) + len(BODY) + 1, F.length(t) - F.length(role(t)) - len(BODY) - len(END))
+    whole = lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.get("attachments", p["number"])["ref"].alias("ref"), F.get("attachments", p["number"])["tokens"].alias("tokens"))
+    turn = lambda t: F.struct(unescape(role(t)).alias("role"), _texts(_parts(content(t))).alias("text"), F.transform(_parts(content(t)), whole).alias("parts"))
     return formatted.select(
         "conv_id",
         "formatted",
-        F.transform(turns, lambda t: F.struct(unescape(role(t)).alias("role"), unescape(text(t)).alias("text"))).alias("turns"),
-        F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "").alias("loss_text"),
+        F.transform(turns, turn).alias("turns"),
+        F.array_join(F.transform("loss", lambda s: _texts(_parts(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))), "").alias("loss_text"),
     )
 
 

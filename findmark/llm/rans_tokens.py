@@ -4,11 +4,12 @@ Documents are dealt to shards by ranges of their id, so shard after shard holds
 sequence of segments of whole documents, about ``SEGMENT`` ids each; a segment is one row of a Parquet table (any shared
 store can hold it, and rows are read in parallel), and its payload is:
 
-    magic, counts | frequency table | document ids and lengths | block index | blocks
+    magic, counts, bytes of an id | frequency table | document ids and lengths | block index | blocks
 
 The frequency table counts all ids of the segment and is shared by its blocks.  Each block codes ``BLOCK`` ids in ``LANES``
 interleaved lanes with 32-bit words, on its own: the block index has its size, its checksum and that of its ids, and the
-lanes' states and the word position every ``SECTION`` steps, so that sections of a block can be decoded apart.
+lanes' states and the word position every ``SECTION`` steps, so that sections of a block can be decoded apart.  Ids take two bytes, or four where the vocabulary is larger than 65,536; a segment
+may have up to ``2**BITS`` different ids.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from findmark.llm.shared import scratch_dir
 from findmark.llm.tokens import encoder
 
-MAGIC = b"FMRANS01"
+MAGIC = b"FMRANS02"
 #: Bits of the frequencies' common total.
 BITS = 18
 LANES, BLOCK, SECTION, SEGMENT = 1024, 1 << 17, 64, 1 << 20
@@ -40,6 +41,8 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their frequencies, at least one each, with a sum of 2**BITS."""
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
+    if len(symbols) > 1 << BITS:
+        raise ValueError(f"more than {1 << BITS} different ids in a segment")
     n = counts[symbols]
     f = np.maximum(1, n * (1 << BITS) // n.sum())
     over = int(f.sum()) - (1 << BITS)
@@ -51,7 +54,7 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.minimum(cut, np.maximum(0, over - (np.cumsum(cut) - cut)))
         f[at] -= cut
         over -= int(cut.sum())
-    return symbols.astype("<u2"), f.astype("<u4")
+    return symbols.astype(ids.dtype), f.astype("<u4")
 
 
 class Table:
@@ -59,7 +62,7 @@ class Table:
 
     def __init__(self, symbols: np.ndarray, f: np.ndarray):
         begin = np.cumsum(f, dtype=np.uint64) - f
-        self.rank = np.zeros(1 << 16, np.int32)
+        self.rank = np.zeros(int(symbols.max(initial=0)) + 1, np.int32)
         self.rank[symbols] = np.arange(len(symbols))
         self.symbols, self.f, self.begin = symbols, f.astype(np.uint64), begin
         self.at_slot = np.repeat(np.arange(len(symbols), dtype=np.int32), f)
@@ -125,17 +128,17 @@ def pack_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> b
     for a in range(0, len(ids), BLOCK):
         blocks.append(encode_block(ids[a : a + BLOCK], table))
         index.append(struct.pack("<III", len(blocks[-1]), zlib.crc32(blocks[-1]), zlib.crc32(ids[a : a + BLOCK].tobytes())))
-    return b"".join([MAGIC, struct.pack("<IIIII", len(symbols), len(doc_ids), len(blocks), *map(len, heads)), *heads, *index, *blocks])
+    return b"".join([MAGIC, struct.pack("<IIIIII", len(symbols), len(doc_ids), len(blocks), ids.itemsize, *map(len, heads)), *heads, *index, *blocks])
 
 
 def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(document ids, lengths, ids)`` of a segment; a wrong checksum raises ``ValueError``."""
     if raw[:8] != MAGIC:
         raise ValueError("not a segment of token ids")
-    n_symbols, n_docs, n_blocks, a, b = struct.unpack_from("<IIIII", raw, 8)
-    at = 28
+    n_symbols, n_docs, n_blocks, width, a, b = struct.unpack_from("<IIIIII", raw, 8)
+    at, kind = 32, f"<u{width}"
     head = zlib.decompress(raw[at : at + a])
-    table = Table(np.frombuffer(head, "<u2", n_symbols), np.frombuffer(head, "<u4", n_symbols, 2 * n_symbols))
+    table = Table(np.frombuffer(head, kind, n_symbols), np.frombuffer(head, "<u4", n_symbols, width * n_symbols))
     docs = zlib.decompress(raw[at + a : at + a + b])
     at += a + b
     index = [struct.unpack_from("<III", raw, at + 12 * i) for i in range(n_blocks)]
@@ -149,7 +152,7 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if zlib.crc32(parts[-1].tobytes()) != crc_ids:
             raise ValueError("a block's ids do not have their checksum")
         at += size
-    ids = np.concatenate(parts) if parts else np.zeros(0, "<u2")
+    ids = np.concatenate(parts) if parts else np.zeros(0, kind)
     return np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u4", n_docs, 8 * n_docs), ids
 
 
@@ -157,7 +160,8 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str | None = Non
     """Encodes the texts of ``docs(doc_id, text)`` and writes the ids; returns the table's path.
 
     Null text is the empty text; rows without ``doc_id`` have no place in the order and are left out; rows that share an
-    id stand beside each other.  Other columns are not read.
+    id stand beside each other, ordered by a hash of the text; an empty table gives an empty table of segments.  A text of any
+    length is encoded whole and stays in one segment.  Other columns are not read.
     """
     path = path or f"{scratch_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
 
@@ -194,7 +198,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str | None = Non
 
 
 def read_token_ids(spark, path: str) -> DataFrame:
-    """What ``write_token_ids`` wrote: ``doc_id, start, n_tokens, ids (binary, little-endian, two bytes each)``.
+    """What ``write_token_ids`` wrote: ``doc_id, start, n_tokens, width, ids``: binary, little-endian, ``width`` bytes an id.
 
     ``start`` counts the ids of all documents before it.
     """
@@ -208,12 +212,12 @@ def read_token_ids(spark, path: str) -> DataFrame:
                 begins = ends - lengths
                 n = len(doc_ids)
                 yield pa.record_batch(
-                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, segment, np.int32)), pa.array(doc_ids), pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array([ids[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())],
-                    ["shard", "segment", "doc_id", "local", "n_tokens", "ids"],
+                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, segment, np.int32)), pa.array(doc_ids), pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(np.full(n, ids.itemsize, np.int32)), pa.array([ids[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())],
+                    ["shard", "segment", "doc_id", "local", "n_tokens", "width", "ids"],
                 )
 
-    rows = files.select("shard", "segment", "payload").mapInArrow(decode, "shard int, segment int, doc_id long, local long, n_tokens long, ids binary")
-    return rows.join(segment_starts(files), ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    rows = files.select("shard", "segment", "payload").mapInArrow(decode, "shard int, segment int, doc_id long, local long, n_tokens long, width int, ids binary")
+    return rows.join(segment_starts(files), ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "width", "ids")
 
 
 def segment_starts(files: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ A byte-level tokenizer of this kind first cuts a text into pieces and never join
 characters that are no white space always begins a piece, and so does every change between a letter and a mark that is
 neither a letter, a digit, white space nor an apostrophe, and every single line feed between such characters.  So texts are
 cut there, each distinct part is encoded by the tokenizer and kept in a bounded cache, and a text's ids are those of its
-parts in order.  ``tests/llm`` compares this with whole texts encoded in one call.
+parts in order.  ``tests/llm`` compares this with whole texts encoded in one call.  A tokenizer of another kind (any other
+pre-tokenizer, a normalizer, or a byte-level one without its pattern) is found when it is loaded, and gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -57,15 +59,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size, self.end_id = max(vocab.values()) + 1, end_id
-        if self.size > 1 << 16:
-            raise ValueError("ids over 65535 do not fit the two bytes used here")
-        self.blank, self.feed = (np.array([k[:1] == c for k in sorted(vocab, key=vocab.get)]) for c in "ĠĊ")
-        if len(self.blank) != self.size:
-            raise ValueError("the ids of the vocabulary have gaps")
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.blank, self.feed = (np.zeros(self.size, bool) for _ in "ĠĊ")
+        for k, i in vocab.items():
+            self.blank[i], self.feed[i] = k[:1] == "Ġ", k[:1] == "Ċ"
         self.parts = _Cache()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes the parts that the cache lacks, many in one call where the ids show where each begins."""
@@ -82,15 +86,15 @@ class Encoder:
                 if len(first) != len(some):
                     self.parts.update((p, self._ids(p).tobytes()) for p in some)
                     continue
-                raw, skip = ids.tobytes(), 2 * len(lead)
-                self.parts.update((p, raw[a + skip : b]) for p, a, b in zip(some, (first * 2).tolist(), np.append(first[1:] * 2, len(raw)).tolist()))
+                raw, skip, w = ids.tobytes(), self.kind.itemsize * len(lead), self.kind.itemsize
+                self.parts.update((p, raw[a + skip : b]) for p, a, b in zip(some, (first * w).tolist(), np.append(first[1:] * w, len(raw)).tolist()))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, ends)``: two-byte ids of all texts one after another, and where each text's ids end; null is empty."""
+        """``(ids, ends)``: ids (of ``kind``) of all texts one after another, and where each text's ids end; null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         begin = np.flatnonzero(np.append(True, upto[1:] // SLICE != upto[:-1] // SLICE)) if len(texts) else np.zeros(0, np.int64)
-        all_ids, all_ends, total = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)], 0
+        all_ids, all_ends, total = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], 0
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(texts)).tolist()):
             ids, ends = self._encode(texts[a:b])
             all_ids.append(ids)
@@ -100,6 +104,9 @@ class Encoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for a slice without nulls."""
+        if not self.cuts:
+            own = [np.append(self._ids(t), np.array([self.end_id], self.kind)) for t in texts.to_pylist()]
+            return np.concatenate(own), np.cumsum([len(x) for x in own])
         fast = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
         cuts = pc.split_pattern(pc.replace_substring_regex(fast, rf"([{_LETTERS}])([.,;:!?#*$%&|<>])", "\\1\x01\\2"), "\x01")
         slow = pc.or_(pc.match_substring_regex(texts, _SLOW), pc.match_substring_regex(texts, _RARE)).to_numpy(zero_copy_only=False)
@@ -112,11 +119,11 @@ class Encoder:
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         self._learn(words)
         # a table of byte strings, the parts and then the end id; and each text's rows of it in order
-        table = [*map(self.parts.__getitem__, words), np.array([self.end_id], "<u2").tobytes()]
+        table = [*map(self.parts.__getitem__, words), np.array([self.end_id], self.kind).tobytes()]
         rows = np.insert(codes, np.cumsum(sizes), len(words))
-        long = np.fromiter(map(len, table), np.int64, len(table)) // 2
+        long = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
         begin = np.cumsum(long) - long
-        flat, n = np.frombuffer(b"".join(table), "<u2"), long[rows]
+        flat, n = np.frombuffer(b"".join(table), self.kind), long[rows]
         upto = np.cumsum(n)
         ids = flat[np.repeat(begin[rows] - (upto - n), n) + np.arange(upto[-1])]
         return ids, upto[np.cumsum(sizes + 1) - 1]
