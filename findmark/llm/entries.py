@@ -62,7 +62,7 @@ def op8_term_at_a_time_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.weighted(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 4).alias("probability"), (mixing.chance("doc_id") < F.col("_probability")).alias("sampled"))
+    return out.select("row.doc_id", "topic", "tokens", F.round("probability", 4).alias("probability"), (mixing.chance("row.doc_id") < F.col("probability")).alias("sampled"))
 
 
 def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,22 +54,34 @@ def ranked(text: str | None, most: int = PROFILE) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Languages in ascending order, the n-grams of all profiles in ascending order, and their ranks by language."""
+    """Languages in ascending order, the n-grams of all profiles in ascending order, and for each n-gram, from ``begin`` on,
+    the languages whose profile has it with its ranks there: as much as the profiles hold, however many languages there are."""
 
     langs: list[str]
     grams: np.ndarray
-    ranks: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
     length: int = PROFILE
 
+    def distances(self, top: np.ndarray) -> np.ndarray:
+        """The out-of-place distance of ranked n-grams to each language."""
+        if not len(self.grams):
+            return np.full(len(self.langs), self.length * len(top))
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[at] == top)
+        at = at[place]
+        n = self.begin[at + 1] - self.begin[at]
+        rows = np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = self.length - np.minimum(np.abs(self.rank[rows] - np.repeat(place, n)), self.length)
+        return self.length * len(top) - np.bincount(self.lang[rows], near, len(self.langs)).astype(np.int64)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language (ties: the first by name) and one less its distance over the largest possible one."""
         top = ranked(text, self.length)
         if not len(top) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
-        known = self.grams[at] == top
-        away = np.abs(self.ranks[at[known]] - np.flatnonzero(known)[:, None])
-        far = np.minimum(away, self.length).sum(0) + self.length * int((~known).sum())
+        far = self.distances(top)
         best = int(np.argmin(far))
         if far[best] >= self.length * len(top):  # nothing in common with any profile
             return UNKNOWN, 0.0
@@ -81,13 +93,21 @@ def held_out(mod: int = 3, rest: int = 1) -> Column:
 
 
 def learn(docs: DataFrame, length: int = PROFILE, each: int = SAMPLE_EACH, most: int = SAMPLE_ALL) -> Profiles:
-    """Profiles from ``docs(doc_id, text, lang)``: at most ``each`` documents of a language and ``most`` in all."""
+    """Profiles from ``docs(doc_id, text, lang)``: at most ``each`` documents of a language and ``most`` in all.
+
+    The documents with the smallest hashes of their ids are taken.  A language's count says below which hash enough of them
+    lie, so few rows are ranked, however many a language has; of more than ``most`` languages the most frequent are learned.
+    Rows with a null id or language are not learned from, rows that share an id count each; an empty table gives no profile.
+    """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    spread = (F.xxhash64("doc_id") / F.lit(float(1 << 64)) + F.lit(0.5)) * F.col("n")  # about the rank by hash
+    known = known.join(F.broadcast(sizes), "lang").where(spread < 2 * each + 100).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).orderBy("r", "lang").limit(most).select(F.col("doc_id").cast("long").alias("doc_id")).collect()
     if not ids:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), length)
+        return Profiles([], *(np.zeros(0, np.int64) for _ in range(4)), length)
     sample = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +122,17 @@ def learn(docs: DataFrame, length: int = PROFILE, each: int = SAMPLE_EACH, most:
     rows = totals.withColumn("r", F.row_number().over(best)).where(F.col("r") <= length).select("lang", "gram", "r").collect()
     langs = sorted({r.lang for r in rows})
     codes = np.array(sorted({r.gram for r in rows}), np.int64)
-    ranks = np.full((len(codes), len(langs)), 2 * length + 1, np.int64)  # absent: over the profile's length from any rank
-    at = {g: i for i, g in enumerate(codes.tolist())}
-    for r in rows:
-        ranks[at[r.gram], langs.index(r.lang)] = r.r - 1
-    return Profiles(langs, codes, ranks, length)
+    at, number = {g: i for i, g in enumerate(codes.tolist())}, {x: i for i, x in enumerate(langs)}
+    held = sorted((at[r.gram], number[r.lang], r.r - 1) for r in rows)
+    gram, lang, rank = (np.array([h[i] for h in held], np.int64) for i in range(3))
+    return Profiles(langs, codes, np.searchsorted(gram, np.arange(len(codes) + 1)), lang, rank, length)
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs(doc_id, text)``.
 
-    Null texts, texts without a letter and texts as far as can be from every profile are ``und`` with score 0.  Rows that share an id, or have none, each give a row.
+    Null texts, texts without a letter and texts as far as can be from every profile are ``und`` with score 0.  Rows that share
+    an id, or have none, each give a row; a text of any length is counted whole; an empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +144,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text is in a known language with at least ``least_score``."""
+    """Rows of ``docs``, all columns, whose text is in a known language with at least ``least_score``.
+
+    Rows with null text go, rows with a null id or language are judged like any other.
+    """
     names = docs.columns
     at = names.index("text")
     schema = docs.schema

@@ -104,7 +104,8 @@ def apply_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOC
     """Counts and verdicts for every row of ``docs(doc_id, text, <host>)``.
 
     Rows that share an id each give a row; a null host is a host of its own, named by the empty string; a null text has no
-    words and fails the base rules.  ``removed_words`` are those of boilerplate lines.
+    words and fails the base rules.  ``removed_words`` are those of the boilerplate lines that ``remove_lines`` takes out.  A
+    text of any length is measured whole; other columns are not read; an empty table gives no row.
     """
     schema = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, line_words array<int>"
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")

@@ -5,10 +5,14 @@ margin in turn scales its cells so that their sum by value is the target.  For a
 budget of tokens: values and cells that have less than their target are kept whole and the rest of the budget goes to the
 others, so a tail of tiny cells lowers no other cell's probability.  Without a budget a document's probability is its cell's
 scale over the largest scale.  Documents are dropped but never repeated, and a hash of the id decides.
+
+Targets that contradict each other, or that the cells which occur cannot meet, are told: ``off_target`` is the largest distance
+of a margin's share from its target when raking ended, and a warning says so where it is over ``TOLERANCE``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from functools import reduce
 
@@ -19,8 +23,13 @@ from findmark.llm.shared import stored
 
 #: Rounds over all margins between two looks at the margins, and at most.
 ROUNDS, MOST_ROUNDS, CLOSE = 8, 64, 1e-6
+#: Distance of a margin's share from its target that is told by a warning.
+TOLERANCE = 0.01
 #: Topics by marks in the text, the first that holds; the rest is prose.
 TOPICS = (("table", r" \| "), ("symbols", r"[#*$%&]{3}"), ("numbers", r"[0-9]{4}"))
+#: The margin of these topics, and the margins by default.
+TOPIC = "_topic"
+MARGINS = {"source": None, "lang": None, TOPIC: None}
 #: A margin without targets of its own aims at shares like its own shares to this power: between equal and as they are.
 TEMPER = 0.7
 #: Share of all tokens that a sample is to keep.
@@ -61,7 +70,8 @@ def _fill(table: DataFrame, own: str, wish: str, budget: float) -> float:
 
 
 def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, close: float = CLOSE, budget: float | None = None) -> DataFrame:
-    """``cells(<margins>, tokens)`` with ``target_share`` (shares after raking) and ``scale`` (its ratio to the own share).
+    """``cells(<margins>, tokens)`` with ``target_share`` (shares after raking), ``scale`` (its ratio to the own share) and
+    ``off_target``, the same for all.
 
     Targets are shares by value and are normed over the values that have tokens; a value without a target gets none.
     ``None`` stands for tempered shares.  It ends when every margin is within ``close``, or after ``most_rounds``.  Cells
@@ -102,38 +112,42 @@ def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], ro
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap").alias("gap")).first()["gap"]
         if worst is None or worst <= close:
             break
+    if worst is not None and worst > TOLERANCE:
+        warnings.warn(f"the targets of the mixture are missed by a share of up to {worst:.4f}: they contradict each other or the cells", stacklevel=2)
     if budget is not None:
         table = table.withColumn("target_share", F.least("own_share", F.col("target_share") * F.lit(_fill(table, "own_share", "target_share", budget))))
-    return table.select(*names, "tokens", "target_share", (F.col("target_share") / F.col("own_share")).alias("scale"))
+    return table.select(*names, "tokens", "target_share", (F.col("target_share") / F.col("own_share")).alias("scale"), F.lit(worst).cast("double").alias("off_target"))
 
 
-def weighted(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, budget: float | None = None) -> DataFrame:
-    """``docs`` with ``_topic``, ``_tokens`` and ``_probability``: what sampling needs, for every row.
+def weighted(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, budget: float | None = None, topics: tuple = TOPICS) -> DataFrame:
+    """``row, topic, tokens, probability, off_target`` for every row of ``docs``: the row as it was, whatever the names of its
+    columns, and what sampling needs.
 
-    Margins are columns of ``docs`` or ``_topic``; by default source, language and topic.  A null value of a margin is a
-    value of its own, the empty string.  Documents without tokens have probability zero.  With a ``budget`` that share of
-    the tokens is expected to stay; without one the cell of the largest scale has probability 1.
+    Margins are columns of ``docs``, such as a topic that a model or a table gives, or ``TOPIC`` for the topic by the marks of
+    ``topics`` in the text; by default source, language and ``TOPIC``.  A null value of a margin is a value of its own, the
+    empty string.  Null, empty and blank texts have no tokens and probability zero; a text of any length is counted whole.  With
+    a ``budget`` that share of the tokens is expected to stay; without one the cell of the largest scale has probability 1.
     """
-    margins = {"source": None, "lang": None, "_topic": None} if margins is None else margins
-    keys = [f"_m{i}" for i in range(len(margins))]
-    plus = docs.withColumn("_topic", topic("text")).withColumn("_tokens", words("text"))
-    plus = plus.select("*", *(F.coalesce(F.col(m).cast("string"), F.lit("")).alias(k) for k, m in zip(keys, margins)))
-    raked = rake(plus.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), dict(zip(keys, margins.values())), budget=budget)
+    margins = MARGINS if margins is None else margins
+    keys = [f"m{i}" for i in range(len(margins))]
+    value = lambda m: topic(docs["text"], topics) if m == TOPIC else docs[m].cast("string")
+    plus = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), topic(docs["text"], topics).alias("topic"), words(docs["text"]).alias("tokens"), *(F.coalesce(value(m), F.lit("")).alias(k) for k, m in zip(keys, margins)))
+    raked = rake(plus.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), dict(zip(keys, margins.values())), budget=budget)
     size = raked.agg(F.count("*").alias("n"), F.max("scale").alias("most")).first()
-    chances = raked.select(*keys, (F.col("scale") / F.lit(float(size["most"] or 1) if budget is None else 1.0)).alias("_p"))
+    chances = raked.select(*keys, (F.col("scale") / F.lit(float(size["most"] or 1) if budget is None else 1.0)).alias("p"), "off_target")
     if size["n"] <= MOST_BROADCAST:
         chances = F.broadcast(chances)
-    out = plus.join(chances, keys, "left").withColumn("_probability", F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0))
-    return out.drop(*keys, "_p")
+    out = plus.join(chances, keys, "left")
+    return out.select("row", "topic", "tokens", F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0).alias("probability"), "off_target")
 
 
 def sample(docs: DataFrame, margins: Mapping[str, Mapping[str, float] | None] | None = None, seed: str = "mix", budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that the calibrated probabilities keep, with all their columns; a null id counts as empty."""
-    margins = {"source": None, "lang": None, "_topic": None} if margins is None else margins
-    # the row goes along as one value, so columns of any name come back as they were
-    used = dict.fromkeys(["doc_id", "text", *(m for m in margins if m != "_topic")])
-    out = weighted(docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("_row")), margins, budget)
-    return out.where(chance(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_probability")).select("_row.*")
+    """The rows of ``docs`` that the calibrated probabilities keep, with all their columns.
+
+    A null id counts as empty; rows that share an id share its draw, so of two rows of a cell both stay or both go.
+    """
+    out = weighted(docs, margins, budget)
+    return out.where(chance(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), seed) < F.col("probability")).select("row.*")
 
 
 def oracle_sql(rounds: int) -> str:

@@ -75,7 +75,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """One row per piece of ``docs(doc_id, text)``: see ``SCHEMA``.
 
     Null text is the empty text, which has the end id alone; rows without ``doc_id`` are left out; rows that share an id
-    are packed one by one.  ``sequence_id`` has the task's number in its upper bits.
+    are packed one by one.  A text of any length is encoded whole and cut into windows; other columns are not read; an empty
+    table gives no row.  ``sequence_id`` has the task's number in its upper bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

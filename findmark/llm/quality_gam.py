@@ -182,7 +182,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs(doc_id, text)``; null texts are scored as empty ones."""
+    """``doc_id, score`` for every row of ``docs(doc_id, text)``, other columns are not read.
+
+    Null texts are scored as empty ones; rows that share an id, or have none, each give a row; a text of any length is
+    measured whole; an empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
