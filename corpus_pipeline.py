@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the last return the columns of
 ``documents``.  Stages are written to the shared folder and read again, so a lost executor costs one stage at most.
+
+Odd rows: an empty table gives an empty one in every stage.  Null, empty and letterless texts go in the first stage.  Rows without
+``doc_id`` are compared with nothing and stay up to packing, which leaves them out.  Rows that share an id stay or go
+together as near copies and in the mixture, and are not compared with each other.  Null languages and sources are values of their own.
+Texts of any length are taken whole, and further columns of any name come back as they were.
 """
 
 from __future__ import annotations
@@ -13,27 +18,27 @@ from findmark.llm.shared import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; profiles are learned from the same folds as in ``op10``."""
+    """Documents whose text has a language, whatever ``lang`` says; profiles are learned from the same folds as in ``op10``."""
     return langid.keep_known(docs, langid.learn(docs.where(~langid.held_out())))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of fingerprint links."""
+    """One document, the one with the smallest id, of each component of fingerprint links; ties keep all rows of that id."""
     return simhash.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand in an earlier document."""
+    """Texts without the passages that stand in a document of a smaller id; documents that were nothing else go."""
     return passages.remove_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics have their target shares of tokens."""
+    """Documents sampled by a hash of their id so that sources, languages and topics have their target shares of tokens."""
     return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens; each id of each document with an id lies in one of them."""
     return packing.pack(docs, entries.tokenizer_path())
 
 
@@ -45,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SimHash, chains and rank-order profiles are beyond SQL; ``tests/llm`` tests the stages against brute force.
+#: SimHash, chains and rank-order profiles are beyond SQL; ``tests/llm`` tests their operators against brute force.
 ORACLE_SQL = None
 
 
