@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findmark.llm.shared import lean
+
 #: N-grams in a profile; sampled documents for each language and in all.
 PROFILE, SAMPLE_EACH, SAMPLE_ALL = 300, 400, 20_000
 UNKNOWN = "und"
@@ -116,7 +118,7 @@ def learn(docs: DataFrame, length: int = PROFILE, each: int = SAMPLE_EACH, most:
                 grams, n = counted(text)
                 yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    grams = docs.where("lang is not null").join(sample, "doc_id").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    grams = docs.where("lang is not null").join(sample, "doc_id").select("lang", "text").mapInArrow(lean(count), "lang string, gram long, n long")
     totals = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = totals.withColumn("r", F.row_number().over(best)).where(F.col("r") <= length).select("lang", "gram", "r").collect()
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [profiles.predict(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) -> DataFrame:
@@ -157,4 +159,4 @@ def keep_known(docs: DataFrame, profiles: Profiles, least_score: float = 0.0) ->
             found = [profiles.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findmark.llm.shared import lean
 from findmark.llm.tokens import encoder
 
 #: Remainders that wait before a round of packing.
@@ -146,4 +147,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         if rows:
             yield batch_of()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(lean(run), SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findmark.llm.shared import dropped, stored
+from findmark.llm.shared import dropped, lean, stored
 
 #: Words in a k-mer; k-mers of which one is a seed; words and likeness of a passage; words of a part that may be merged.
 K, WINDOW, LEAST_WORDS, LIKENESS, LEAST_PART = 5, 4, 50, 0.8, 20
@@ -36,7 +36,7 @@ BAND = 8
 #: Words between the two seeds of the longer keys, and between the first and last seed of a verbatim one.
 NEAR, FAR, VERBATIM = (8, 24), (25, 45), 34
 #: Words that a task takes together to number their seeds.
-BUFFER = 2_000_000
+BUFFER = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -251,7 +251,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _matches(dealt: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """``h, doc_id, p, other_id, o``: every occurrence of a shared key with the key's first one in another document; and
     the table that has to stay until these rows are read."""
-    held = stored(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_held, _HELD), name)
+    held = stored(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_held), _HELD), name)
     loose = held.where("other_id is null").select("h", "doc_id", "p").join(held.where("first").select("h", "other_id", "o"), "h")
     return held.where("other_id is not null").select("h", "doc_id", "p", "other_id", "o").unionByName(loose).where("doc_id <> other_id"), held
 
@@ -374,7 +374,7 @@ def _chainer(least: int = 2):
 
 def _chained(matches: DataFrame, name: str) -> DataFrame:
     rows = matches.select("h", "doc_id", "p", "other_id", "o").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "p", "o")
-    return stored(rows.mapInArrow(_chainer(), _CHAINS), name)
+    return stored(rows.mapInArrow(lean(_chainer()), _CHAINS), name)
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> int:
@@ -556,14 +556,14 @@ def _aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<int>")
     one = lambda at, side, c, d, o: chains.select(*key, F.lit(side).alias("side"), "solid", F.col(at).alias("at"), F.element_at(c, 1).alias("a"), (F.element_at(c, -1) + K).alias("b"), d.alias("d"), o.alias("o"))
     asked = one("doc_id", 0, "d", F.col("d"), F.col("o")).unionByName(one("other_id", 1, "o", none, none))
-    words = docs.mapInArrow(_word_rows, "at long, words binary").where("length(words) > 0")
+    words = docs.mapInArrow(lean(_word_rows), "at long, words binary").where("length(words) > 0")
     part = lambda a, b: F.substring("words", 4 * a + 1, 4 * (b - a))
     low = F.greatest(F.lit(0), F.col("a") - BEYOND)
     given = asked.join(words, "at").select(
         *_OWN, "side", "solid", "d", "o",
         part(low, F.col("a")).alias("head"), F.when(~F.col("solid"), part(F.col("a"), F.col("b"))).alias("body"), part(F.col("b"), F.col("b") + BEYOND).alias("tail"),
     )
-    return stored(given.repartition(*_OWN).sortWithinPartitions(*_OWN, "side").mapInArrow(_parts, _PARTS), "parts")
+    return stored(given.repartition(*_OWN).sortWithinPartitions(*_OWN, "side").mapInArrow(lean(_parts), _PARTS), "parts")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -592,11 +592,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matches, held = _matches(own.mapInArrow(_seed_dealer(buckets), _DEALT), "seeds")
+    matches, held = _matches(own.mapInArrow(lean(_seed_dealer(buckets)), _DEALT), "seeds")
     chains = _chained(matches, "chains")
     dropped(held)
     loose = chains.where("other_id is null").select("doc_id", "h", "d")
-    matches, held = _matches(loose.mapInArrow(_key_dealer(buckets), _DEALT), "keys")
+    matches, held = _matches(loose.mapInArrow(lean(_key_dealer(buckets)), _DEALT), "keys")
     again = _chained(matches, "chains")
     dropped(held)
     both = chains.where("other_id is not null").unionByName(again.where("other_id is not null"))
@@ -646,4 +646,4 @@ def remove_repeats(docs: DataFrame, chars: str | None = "n_chars") -> DataFrame:
             keep = pa.array([not x or bool(t.strip()) for t, x in zip(new, cuts)], pa.bool_())
             yield pa.record_batch(columns, names).filter(keep)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findmark.llm.shared import scratch_dir
+from findmark.llm.shared import lean, scratch_dir
 from findmark.llm.tokens import encoder
 
 MAGIC = b"FMRANS02"
@@ -193,7 +193,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str | None = Non
             yield closed()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    ranged.mapInArrow(lean(encode), FILE_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmark.llm.shared import components, stored
+from findmark.llm.shared import components, lean, stored
 
 SEED, WORDS, MOST_BITS = 42, 4, 4
 #: Cells up to this size compare all their fingerprints at once; larger than that they are dealt again.
@@ -166,10 +166,10 @@ def fingerprint_links(distinct: DataFrame, most_bits: int = MOST_BITS, large: in
     if not 0 <= most_bits <= 4:
         raise ValueError("the grid covers links of up to four bits")
     found: list[DataFrame] = []
-    cells = distinct.select("fp").mapInArrow(_cells, _CELLS)
+    cells = distinct.select("fp").mapInArrow(lean(_cells), _CELLS)
     while True:  # three times at most: halves, quarters, eighths
         dealt = cells.repartition("cell").sortWithinPartitions("cell", "piece")
-        found.append(stored(dealt.mapInArrow(_linker(most_bits, large), "cell long, piece int, a long, b long"), "fingerprint-links"))
+        found.append(stored(dealt.mapInArrow(lean(_linker(most_bits, large)), "cell long, piece int, a long, b long"), "fingerprint-links"))
         cells = found[-1].where("cell is not null").select("cell", "piece", F.col("a").alias("fp"))
         if cells.isEmpty():
             return reduce(DataFrame.unionAll, [x.where("cell is null").select("a", "b") for x in found])
@@ -182,7 +182,7 @@ def near_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     share an id each give a row; a text of any length is taken whole, by blocks of shingles; an empty table gives no row.
     ``component_id`` is the smallest id that links reach.
     """
-    fps = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    fps = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(lean(_fingerprints), "doc_id long, fp long"), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = fingerprint_links(classes, most_bits).distinct()
     side = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
