@@ -631,7 +631,8 @@ def remove_repeats(docs: DataFrame, chars: str | None = "n_chars") -> DataFrame:
         own_id, own_cuts = f"_{own_id}", f"_{own_cuts}"
     found = repeated_passages(docs).select("doc_id", "passage_start", "passage_end").distinct()
     cuts = found.groupBy(F.col("doc_id").alias(own_id)).agg(F.array_sort(F.collect_list(F.struct("passage_start", "passage_end"))).alias(own_cuts))
-    joined = docs.join(cuts, docs["doc_id"] == cuts[own_id], "left").drop(own_id)
+    # by a shuffle at any size: the cuts grow with the documents
+    joined = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts[own_id], "left").drop(own_id)
     at, schema = names.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
