@@ -305,9 +305,9 @@ def _lists(pieces: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces) if pieces else [], kind))
 
 
-def _chainer(least: int = 2):
+def _chainer(loose: bool, least: int = 2):
     """Matches sorted by document, other document and places to chains of at least ``least`` matches without large gaps;
-    and, in a row without other document, the document's seeds that are in no chain that is a passage for sure."""
+    and with ``loose``, in a row without other document, the document's seeds that are in no chain that is a passage for sure."""
 
     def done(h: np.ndarray, doc: np.ndarray, p: np.ndarray, other: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
         ids, others, solid, ds, os, hs = [], [], [], [], [], []
@@ -335,7 +335,7 @@ def _chainer(least: int = 2):
                     hs.append(np.zeros(0, np.int64))
                     if length >= LEAST_WORDS and covered >= LIKENESS * length:
                         sure.setdefault(int(doc[a]), []).append((int(x[u]), int(x[v - 1])))
-        begin = _starts(doc)
+        begin = _starts(doc) if loose else np.zeros(0, np.int64)
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(doc)).tolist()):
             open_ = np.ones(b - a, bool)
             for low, high in sure.get(int(doc[a]), ()):
@@ -372,9 +372,9 @@ def _chainer(least: int = 2):
     return run
 
 
-def _chained(matches: DataFrame, name: str) -> DataFrame:
+def _chained(matches: DataFrame, name: str, loose: bool) -> DataFrame:
     rows = matches.select("h", "doc_id", "p", "other_id", "o").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "p", "o")
-    return stored(rows.mapInArrow(lean(_chainer()), _CHAINS), name)
+    return stored(rows.mapInArrow(lean(_chainer(loose)), _CHAINS), name)
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> int:
@@ -593,13 +593,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     matches, held = _matches(own.mapInArrow(lean(_seed_dealer(buckets)), _DEALT), "seeds")
-    chains = _chained(matches, "chains")
+    chains = _chained(matches, "chains", True)
     dropped(held)
     loose = chains.where("other_id is null").select("doc_id", "h", "d")
     matches, held = _matches(loose.mapInArrow(lean(_key_dealer(buckets)), _DEALT), "keys")
-    again = _chained(matches, "chains")
+    again = _chained(matches, "chains", False)
     dropped(held)
-    both = chains.where("other_id is not null").unionByName(again.where("other_id is not null"))
+    both = chains.where("other_id is not null").unionByName(again)
     parts = _aligned(both, own)
     dropped(chains, again)
     return _merged(parts.distinct())
