@@ -373,7 +373,9 @@ def _chainer(loose: bool, least: int = 2):
 
 
 def _chained(matches: DataFrame, name: str, loose: bool) -> DataFrame:
-    rows = matches.select("h", "doc_id", "p", "other_id", "o").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "p", "o")
+    # the number of parts is given: chains cost time, not bytes, by which small parts would be put together
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = matches.select("h", "doc_id", "p", "other_id", "o").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "other_id", "p", "o")
     return stored(rows.mapInArrow(lean(_chainer(loose)), _CHAINS), name)
 
 
