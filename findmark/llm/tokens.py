@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts of texts kept in each of the two halves of a worker's cache.
-CACHE_PARTS = 100_000
+CACHE_PARTS = 250_000
 #: Bytes of text that are cut and looked up at once; a longer text is taken alone.
 SLICE = 4 << 20
 #: Texts with these are cut by a slower pattern: white space beside white space or at an end, rare white space, \x01.
