@@ -34,7 +34,7 @@ MARGINS = {"source": None, "lang": None, TOPIC: None}
 TEMPER = 0.7
 #: Share of all tokens that a sample is to keep.
 BUDGET = 0.5
-#: Cells that are sent to every task; more are joined by a shuffle.
+#: Cells that are raked in one part and sent to every task; more are raked and joined by shuffles, with the same result.
 MOST_BROADCAST = 50_000
 
 
@@ -81,8 +81,11 @@ def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], ro
     """
     names = list(margins)
     table = stored(cells.where("tokens > 0").select(*names, "tokens"), "cells")
-    total = table.agg(F.sum("tokens").alias("n")).first()["n"]
-    own = F.col("tokens") / F.lit(float(total or 1))
+    size = table.agg(F.sum("tokens").alias("n"), F.count("*").alias("cells")).first()
+    # few cells lie in one part, where each margin's window finds its values without an exchange
+    dealt = (lambda t: t.coalesce(1)) if size["cells"] <= MOST_BROADCAST else (lambda t: t)
+    table = dealt(table)
+    own = F.col("tokens") / F.lit(float(size["n"] or 1))
     table = table.withColumn("own_share", own).withColumn("target_share", own)
     for i, m in enumerate(names):
         values = table.groupBy(m).agg(F.sum("own_share").alias("own"))
@@ -99,7 +102,7 @@ def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], ro
             values = stored(values, "values")
             goal = F.least("own", F.col("wish") * F.lit(_fill(values, "own", "wish", budget)))
         table = table.join(values.select(m, goal.alias(f"goal_{i}")), m)
-    table = stored(table, "cells")
+    table = dealt(stored(table, "cells"))
     at = [Window.partitionBy(m) for m in names]
     for _ in range(0, most_rounds, rounds):
         for _ in range(rounds):
@@ -107,7 +110,7 @@ def rake(cells: DataFrame, margins: Mapping[str, Mapping[str, float] | None], ro
                 held = F.sum("target_share").over(at[i])
                 scaled = F.when(held > 0, F.col("target_share") * F.col(f"goal_{i}") / held).otherwise(0.0)
                 table = table.withColumn("target_share", scaled if budget is None else F.least("own_share", scaled))
-        table = stored(table, "cells")
+        table = dealt(stored(table, "cells"))
         gaps = [table.groupBy(m, f"goal_{i}").agg(F.sum("target_share").alias("s")).select(F.abs(F.col("s") - F.col(f"goal_{i}")).alias("gap")) for i, m in enumerate(names)]
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap").alias("gap")).first()["gap"]
         if worst is None or worst <= close:
