@@ -489,6 +489,17 @@ def test_a_tiny_cell_does_not_set_the_size_of_the_mixture(spark):
         assert shares["a"] / shares["b"] == pytest.approx((own["a"] / own["b"]) ** mixing.TEMPER, rel=1e-2)
 
 
+def test_many_cells_are_raked_like_few(spark, monkeypatch):
+    rnd = random.Random(22)
+    rows = [(i, "word " * rnd.randint(1, 9), rnd.choice(["en", "fr", None]), rnd.choice("abc")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = []
+    for most in (mixing.MOST_BROADCAST, 0):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        got.append(sorted((r[0], r[1]) for r in mixing.weighted(df).select("row.doc_id", "probability").collect()))
+    assert [i for i, _ in got[0]] == [i for i, _ in got[1]] and [p for _, p in got[0]] == pytest.approx([p for _, p in got[1]])
+
+
 def test_columns_of_any_name_stay(spark):
     names = ["_id", "_cuts", "_row", "_m0", "_p", "_tokens", "_topic", "_probability", "_kept", "row"]
     texts = ["one two three four five six", " ".join(f"w{i}" for i in range(90)), "x " + " ".join(f"w{i}" for i in range(90))]
