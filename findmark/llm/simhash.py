@@ -28,6 +28,8 @@ from findmark.llm.shared import components, lean, stored
 SEED, WORDS, MOST_BITS = 42, 4, 4
 #: Cells up to this size compare all their fingerprints at once; larger than that they are dealt again.
 SMALL_CELL, MOST_IN_CELL = 8, 65_536
+#: A fingerprint with more than one row in so many is sent to every task; there are fewer such fingerprints than this.
+HOT = 1000
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -183,13 +185,17 @@ def near_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     ``component_id`` is the smallest id that links reach.
     """
     fps = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(lean(_fingerprints), "doc_id long, fp long"), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     links = fingerprint_links(classes, most_bits).distinct()
     side = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     by_id = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
     roots = components(by_id)
-    of = classes.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = stored(classes.join(roots, F.col("first") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "first").alias("component_id")), "classes")
+    # the rows of one text that very many documents have stay where they are; those of all others are dealt by fingerprint
+    often = F.col("n") * HOT > F.lit(fps.count())
+    hot, rest = of.where(often), of.where(~often)
+    found = fps.join(F.broadcast(hot), "fp").unionByName(fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -188,6 +188,22 @@ def test_near_copies_odd_rows(spark, odd):
     assert simhash.keep_one(odd.where("false")).count() == 0
 
 
+def test_near_copies_with_a_hot_text_like_brute_force(spark):
+    rnd = random.Random(25)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    base = make(300)
+    texts = [" ".join(base)] * 900 + [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(40)] + [" ".join(make(12)) for _ in range(1500)]
+    rnd.shuffle(texts)
+    fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    of = list(range(len(texts)))  # the smallest neighbour's label, until none moves
+    near = [np.flatnonzero(np.bitwise_count(fps ^ f) <= 4) for f in fps]
+    while (now := [min(of[j] for j in near[i]) for i in range(len(texts))]) != of:
+        of = now
+    rows = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(set(fps.tolist())) > simhash.HOT
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in rows) == [(i, f"{int(f):016x}", c) for i, (f, c) in enumerate(zip(fps, of))]
+
+
 def test_fingerprint_like_a_plain_loop():
     from xxhash import xxh64_intdigest
 
