@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findmark.llm import chat_format, langid, line_rules, mixing, packing, passages, quality_gam, rans_tokens, simhash, topk
+from findmark.llm import chat_format, complement_packing, hard_negatives, langid, line_rules, mixing, packing, passages, quality_gam, rans_tokens, simhash, topk, whitening
 
-BPE = "byte_bpe_50k.json"
+BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = BPE) -> str:
@@ -71,8 +71,25 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complement_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op12_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(topk.usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), topk.whole_weights("embedding").alias("weights"))
+    out = hard_negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+    return out.drop("positive_rank")
+
+
+def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(topk.usable("embedding"))
+    return whitening.whitened(rows.select("vec_id", whitening.whole_entries("embedding", 64, 1_000_000).alias("x")), components=32)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pairwise_additive_quality, op2_typed_chat_format, op3_rans_token_ids, op4_line_frequency_rules, op5_chained_passages, op6_min_slack_packing, op7_popcount_grid_simhash, op8_term_at_a_time_topk, op9_raked_mixture, op10_rank_order_language)}
+    return {f.__name__: f for f in (op1_pairwise_additive_quality, op2_typed_chat_format, op3_rans_token_ids, op4_line_frequency_rules, op5_chained_passages, op6_min_slack_packing, op7_popcount_grid_simhash, op8_term_at_a_time_topk, op9_raked_mixture, op10_rank_order_language, op11_exact_complement_packing, op12_angular_hard_negatives, op13_polarised_whitening)}
 
 
 _TURNS = """WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -94,5 +111,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+        "op12_angular_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.w) + 1), lambda i: a.w[i] * b.w[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 10""",
         "op9_raked_mixture": mixing.oracle_sql(mixing.ROUNDS),
     }

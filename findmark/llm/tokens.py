@@ -6,6 +6,10 @@ neither a letter, a digit, white space nor an apostrophe, and every single line
 cut there, each distinct part is encoded by the tokenizer and kept in a bounded cache, and a text's ids are those of its
 parts in order.  ``tests/llm`` compares this with whole texts encoded in one call.  A tokenizer of another kind (any other
 pre-tokenizer, a normalizer, or a byte-level one without its pattern) is found when it is loaded, and gets whole texts.
+
+A second kind, of words, lower-cases a text, drops its white space and takes letters, single digits and other marks apart.  No
+part of it holds white space, nor a letter and a mark after it, so these texts are cut at blanks, line feeds and between a
+letter and a mark, and the parts are encoded and kept in the same way.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ SLICE = 4 << 20
 #: Texts with these are cut by a slower pattern: white space beside white space or at an end, rare white space, \x01.
 _SLOW = "<[|]|  | \n|\n |\n\n|\n$|^ | $"
 _RARE = "[\t\r\x01\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Fixed value: the pattern of the tokenizers of words that are known to be cut in this way.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Without U+0130, whose lower case ends in a combining mark.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 
 
 class _Cache(dict):
@@ -63,17 +70,31 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
-        self.blank, self.feed = (np.zeros(self.size, bool) for _ in "ĠĊ")
+        self.words = self._of_words(made)
+        self.blank, self.feed, self.last = (np.zeros(self.size, bool) for _ in "ĠĊ/")
         for k, i in vocab.items():
-            self.blank[i], self.feed[i] = k[:1] == "Ġ", k[:1] == "Ċ"
+            self.blank[i], self.feed[i], self.last[i] = k[:1] == "Ġ", k[:1] == "Ċ", k.endswith("</w>")
         self.parts = _Cache()
 
+    @staticmethod
+    def _of_words(made: dict) -> bool:
+        """Whether white space is dropped and each change from a letter to a mark ends a part."""
+        split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        ways = (made.get("normalizer") or {}).get("normalizers") or []
+        plain = all(w["type"] in ("NFC", "Lowercase") or (w["type"], w.get("pattern"), w.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for w in ways)
+        whole = not any(a["content"].split() != [a["content"]] or a["single_word"] for a in made.get("added_tokens") or [])
+        return plain and whole and (split.get("behavior"), split.get("invert"), split.get("pattern")) == ("Removed", True, {"Regex": _WORDS})
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes the parts that the cache lacks, many in one call where the ids show where each begins."""
         missing = self.parts.missing(parts)
+        if self.words:
+            for at in range(0, len(missing), 10_000):
+                self._learn_words(missing[at : at + 10_000])
+            return
         plain = {p for p in missing if p and "\n" not in p and "<|" not in p and " " not in p[1:]}
         for p in missing:
             if p not in plain:
@@ -89,6 +110,17 @@ class Encoder:
                 raw, skip, w = ids.tobytes(), self.kind.itemsize * len(lead), self.kind.itemsize
                 self.parts.update((p, raw[a + skip : b]) for p, a, b in zip(some, (first * w).tolist(), np.append(first[1:] * w, len(raw)).tolist()))
 
+    def _learn_words(self, parts: list[str]) -> None:
+        """The same for parts without blanks: those of letters alone are encoded in one text, where each has one last id."""
+        letters = [p for p in parts if p.isalpha()]
+        ids = self._ids(" ".join(letters))
+        last = np.flatnonzero(self.last[ids])
+        if len(last) == len(letters):
+            raw, upto = ids.tobytes(), ((last + 1) * self.kind.itemsize).tolist()
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(letters, [0, *upto], upto))
+            parts = [p for p in parts if not p.isalpha()]
+        self.parts.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: ids (of ``kind``) of all texts one after another, and where each text's ids end; null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -104,6 +136,10 @@ class Encoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for a slice without nulls."""
+        if self.words:
+            apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), rf"([{_LETTERS}])([.,;:!?#*$%&|<>])", r"\1 \2")
+            special = pc.match_substring(texts, "<|")  # the name of a special token may be in it
+            return self._joined(pc.split_pattern(pc.if_else(special, pc.replace_substring(texts, "\n", " "), apart), " "))
         if not self.cuts:
             own = [np.append(self._ids(t), np.array([self.end_id], self.kind)) for t in texts.to_pylist()]
             return np.concatenate(own), np.cumsum([len(x) for x in own])
@@ -114,6 +150,10 @@ class Encoder:
             own = [[c if i == 0 else f" {c}" for i, c in enumerate(_SINGLE_BLANK.split(t))] for t in texts.filter(pa.array(slow)).to_pylist()]
             both = pa.concat_arrays([cuts, pa.array(own, cuts.type)])
             cuts = both.take(pa.array(np.where(slow, np.cumsum(slow) - 1 + len(texts), np.arange(len(texts)))))
+        return self._joined(cuts)
+
+    def _joined(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are lists of parts, by the cache."""
         sizes = pc.list_value_length(cuts).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(cuts.flatten())
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
