@@ -8,7 +8,8 @@ whose content is the turn's parts in order.  Text parts stand as they are, with
 have a letter after ``<|``, so no text can hold one, and taking one bar from each ``<||`` gives the text back.  Between two
 text parts stands ``<|text|>``, so their ends form no control string together and they stay apart.  An image, audio or
 document part is a placeholder ``<|image:i|>``, where i is its place in the conversation's list of attachments; that list
-has its reference and the number of tokens that it will take.
+has its reference and the number of tokens that it will take.  A part whose type is null or not among these is a placeholder
+``<|unknown:i|>``: its attachment keeps the type, and takes no token.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURN, BODY, END, TEXT = "<|turn|>", "<|body|>", "<|end|>", "<|text|>"
+TURN, BODY, END, TEXT, UNKNOWN = "<|turn|>", "<|body|>", "<|end|>", "<|text|>", "unknown"
 #: Fields of a part; those that its type does not use are null.
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -48,12 +49,14 @@ def text_part(text: Column | str) -> Column:
     return F.array(F.struct(*fields))
 
 
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["type"] == "text", F.lit(False))
+
+
 def _visit(part: Column, number: Column, after_text: Column, expansion: dict) -> Column:
-    """What a part leaves in the content; a type that is neither text nor known is refused."""
-    out = F.when(part["type"] == "text", F.concat(F.when(after_text, TEXT).otherwise(""), escape(part["text"])))
-    for kind in expansion:
-        out = out.when(part["type"] == kind, F.concat(F.lit(f"<|{kind}:"), number.cast("string"), F.lit("|>")))
-    return out.otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(part["type"], F.lit("null")))))
+    """What a part leaves in the content."""
+    named = F.when(part["type"].isin(*expansion), part["type"]).otherwise(UNKNOWN)
+    return F.when(_is_text(part), F.concat(F.when(after_text, TEXT).otherwise(""), escape(part["text"]))).otherwise(F.concat(F.lit("<|"), named, F.lit(":"), number.cast("string"), F.lit("|>")))
 
 
 def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), expansion: dict | None = None) -> DataFrame:
@@ -66,17 +69,17 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     conversation is one row, so it has to fit a task's memory, however long its texts are.
     """
     expansion = EXPANSION if expansion is None else expansion
-    if not all(re.fullmatch("[a-z]{1,20}", kind) and kind not in ("turn", "body", "end", "text") for kind in expansion):
+    if not all(re.fullmatch("[a-z]{1,20}", kind) and kind not in ("turn", "body", "end", "text", UNKNOWN) for kind in expansion):
         raise ValueError("the name of a type of part has up to 20 letters a-z and is no name of a control string")
-    is_other = lambda p: p["type"] != "text"
-    parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull() & ((p["type"] != "text") | (F.length(p["text"]) > 0) | p["type"].isNull()))
+    is_other = lambda p: ~_is_text(p)
+    parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull() & (is_other(p) | (F.length(p["text"]) > 0)))
     rows = messages.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     rows = rows.withColumn("others", F.size(F.filter("parts", is_other)))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json(F.struct("parts")))
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("seq", F.row_number().over(in_order)).withColumn("number", F.coalesce(F.sum("others").over(before), F.lit(0)))
     nth = lambda i: F.col("number") + F.size(F.filter(F.slice("parts", 1, i), is_other))
-    after_text = lambda i: F.coalesce((i > 0) & (F.get("parts", i - 1)["type"] == "text"), F.lit(False))
+    after_text = lambda i: (i > 0) & _is_text(F.get("parts", i - 1))
     body = F.array_join(F.transform("parts", lambda p, i: _visit(p, F.when(F.col("others") > 0, nth(i)).otherwise(F.lit(0)), after_text(i), expansion)), "")
     tokens = lambda p: F.coalesce(*(F.when(p["type"] == kind, f(p).cast("long")) for kind, f in expansion.items()), F.lit(0).cast("long"))
     attached = F.transform(F.filter("parts", is_other), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
@@ -120,7 +123,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     turns = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2_000_000_000)
     role = lambda t: F.substring_index(t, BODY, 1)
     content = lambda t: F.substring(t, F.length(role(t)) + len(BODY) + 1, F.length(t) - F.length(role(t)) - len(BODY) - len(END))
-    whole = lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.get("attachments", p["number"])["ref"].alias("ref"), F.get("attachments", p["number"])["tokens"].alias("tokens"))
+    kind = lambda p: F.when(p["type"] == UNKNOWN, F.get("attachments", p["number"])["type"]).otherwise(p["type"])
+    whole = lambda p: F.struct(kind(p).alias("type"), p["text"].alias("text"), F.get("attachments", p["number"])["ref"].alias("ref"), F.get("attachments", p["number"])["tokens"].alias("tokens"))
     turn = lambda t: F.struct(unescape(role(t)).alias("role"), _texts(_parts(content(t))).alias("text"), F.transform(_parts(content(t)), whole).alias("parts"))
     return formatted.select(
         "conv_id",

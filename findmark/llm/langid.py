@@ -97,13 +97,13 @@ def held_out(mod: int = 3, rest: int = 1) -> Column:
 def learn(docs: DataFrame, length: int = PROFILE, each: int = SAMPLE_EACH, most: int = SAMPLE_ALL) -> Profiles:
     """Profiles from ``docs(doc_id, text, lang)``: at most ``each`` documents of a language and ``most`` in all.
 
-    The documents with the smallest hashes of their ids are taken.  A language's count says below which hash enough of them
-    lie, so few rows are ranked, however many a language has; of more than ``most`` languages the most frequent are learned.
+    The documents with the smallest hashes of their ids are taken.  A language's number of ids says below which hash enough of
+    them lie, so few rows are ranked, however many a language has; of more than ``most`` languages the most frequent are learned.
     Rows with a null id or language are not learned from, rows that share an id count each; an empty table gives no profile.
     """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("rows"), "lang").limit(most)
     spread = (F.xxhash64("doc_id") / F.lit(float(1 << 64)) + F.lit(0.5)) * F.col("n")  # about the rank by hash
     known = known.join(F.broadcast(sizes), "lang").where(spread < 2 * each + 100).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")

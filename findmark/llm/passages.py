@@ -7,8 +7,10 @@ positions in the other document gives each match the best chain before it, less
 or more.
 
 A seed's first document may have it by chance or in a short quote.  Seeds that are in no chain that is a passage for sure
-are therefore matched again by longer keys, which a short quote does not have: two such seeds at most 24 words apart, two
-at most 45 words apart, and all seeds of a verbatim stretch of 39 words and more.  Each key again has one first occurrence.
+are therefore matched again, now with the occurrence in the next smaller document, by themselves and by longer keys, which a
+short quote does not have: two such seeds at most 24 words apart, two at most 45 words apart, and all seeds of a verbatim
+stretch of 39 words and more.  So a document that quotes a passage hides its later holders from each other only where it
+lies between them, and then only the words it quotes.  Rows stay as many as occurrences.
 
 The words at the ends of all chains, and between their seeds where the chain is not verbatim, are then aligned with gaps.
 Parts that are alike enough are merged to passages of the document; those of fifty words and more are the result.
@@ -37,6 +39,8 @@ BAND = 8
 NEAR, FAR, VERBATIM = (8, 24), (25, 45), 34
 #: Words that a task takes together to number their seeds.
 BUFFER = 500_000
+#: Bytes of text whose seeds make a bucket.
+BUCKET = 64 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -105,20 +109,31 @@ def _whole(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-_DEALT = "bucket int, matched boolean, keys binary, docs binary, places binary"
+_DEALT = "bucket int, matched boolean, keys binary, docs binary, places binary, others binary, other_places binary"
 
 
-def _dealt(key: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _before(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For occurrences sorted by key, document and place: the key's first one in the next smaller document, or -1."""
+    run = _starts(key, doc)
+    size = np.diff(np.append(run, len(key)))
+    back = np.append(-1, run[:-1])
+    back[np.append(True, key[run[1:]] != key[run[:-1]])[: len(run)]] = -1
+    return np.repeat(back[: len(run)], size)
+
+
+def _dealt(key: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, near: bool = False) -> pa.RecordBatch:
     """Occurrences of keys, dealt to buckets by key.
 
     Of a key with several occurrences here only the first goes to the key's bucket; the others are dealt evenly, so a key
-    of very many documents has a bounded number of rows in its bucket.
+    of very many documents has a bounded number of rows in its bucket.  With ``near`` these others have the occurrence in the
+    next smaller document that is here beside them.
     """
     rows: list[tuple] = []
     if len(key):
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((place, doc, key)) if near else np.argsort(key, kind="stable")
         key, doc, place = key[order], doc[order], place[order]
         _, first, shared = _firsts(key, doc, place)
+        back = _before(key, doc, place) if near else None
         rest = np.ones(len(key), bool)
         rest[first] = False
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -130,9 +145,13 @@ def _dealt(key: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) ->
             b, k, d, p = b[by], k[by], d[by], p[by].astype(np.uint32)
             begin = _starts(b)
             for x, y in zip(begin.tolist(), np.append(begin[1:], len(b)).tolist()):
-                rows.append((int(b[x]), matched, _planes(k[x:y]), _planes(d[x:y]), _planes(p[x:y])))
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], [c.split()[0] for c in _DEALT.split(", ")])
+                rows.append((int(b[x]), matched, _planes(k[x:y]), _planes(d[x:y]), _planes(p[x:y]), None, None))
+                if matched and near:
+                    own = back[rest][by[x:y]]
+                    own = own[own >= 0], own >= 0  # others are of the same document as the first
+                    rows[-1] = (int(b[x]), matched, *(_planes(c[x:y][own[1]]) for c in (k, d, p)), _planes(doc[own[0]]), _planes(place[own[0]].astype(np.uint32)))
+    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], [c.split()[0] for c in _DEALT.split(", ")])
 
 
 def _seed_dealer(buckets: int):
@@ -197,13 +216,14 @@ def _key_dealer(buckets: int):
             row = np.repeat(np.arange(len(n)), n)
             h, place = _mixed(b.column(1).flatten().to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFF)), b.column(2).flatten().to_numpy().astype(np.int64)
             keys, at = long_keys(h, row, place)
+            keys, at = np.append(keys, _mixed(h + np.uint64(3))), np.append(at, np.arange(len(h)))
             held.append((keys, b.column(0).to_numpy()[row[at]], place[at]))
             size += len(keys)
             if size >= BUFFER:
-                yield _dealt(*map(np.concatenate, zip(*held)), buckets)
+                yield _dealt(*map(np.concatenate, zip(*held)), buckets, True)
                 held, size = [], 0
         if held:
-            yield _dealt(*map(np.concatenate, zip(*held)), buckets)
+            yield _dealt(*map(np.concatenate, zip(*held)), buckets, True)
 
     return run
 
@@ -211,47 +231,67 @@ def _key_dealer(buckets: int):
 _HELD = "h long, doc_id long, p int, other_id long, o int, first boolean"
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to occurrences of the keys that two documents have, each with the key's first occurrence.
+def _holder(near: bool):
+    """Rows sorted by bucket to occurrences of the keys that two documents have, each with the key's first occurrence, or with
+    ``near`` the one in the next smaller document; occurrences without such a one are left out.
 
-    Occurrences that were dealt evenly have no match yet.
+    Occurrences that were dealt evenly have no match yet unless they came with one.
     """
     names = [c.split()[0] for c in _HELD.split(", ")]
 
+    def batch_of(h, doc, place, other, o, first) -> pa.RecordBatch:
+        kinds = (None, None, pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.record_batch([pa.array(c, t) for c, t in zip((h, doc, place, other, o, first), kinds)], names)
+
     def matched(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
         key, doc, place = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(key, kind="stable")
-        key, doc, place = key[order], doc[order], place[order].astype(np.int64)
-        shared, place = place >> 31 != 0, place & 0x7FFFFFFF
+        place, shared = (place & 0x7FFFFFFF).astype(np.int64), place >> 31 != 0
+        order = np.lexsort((place, doc, key)) if near else np.argsort(key, kind="stable")
+        key, doc, place, shared = key[order], doc[order], place[order], shared[order]
+        if near:
+            back = _before(key, doc, place)
+            keep = back >= 0
+            back = back[keep]
+            return batch_of((np.int64(bucket) << 32) | key[keep].astype(np.int64), doc[keep], place[keep], doc[back], place[back], np.zeros(len(back), bool))
         begin, first, several = _firsts(key, doc, place)
         size = np.diff(np.append(begin, len(key)))
         keep = np.repeat(several | np.logical_or.reduceat(shared, begin), size)
         is_first = np.zeros(len(key), bool)
         is_first[first] = True
         first = np.repeat(first, size)[keep]
-        h = (np.int64(bucket) << 32) | key[keep].astype(np.int64)
-        return pa.record_batch([pa.array(h), pa.array(doc[keep]), pa.array(place[keep].astype(np.int32)), pa.array(doc[first]), pa.array(place[first].astype(np.int32)), pa.array(is_first[keep])], names)
+        return batch_of((np.int64(bucket) << 32) | key[keep].astype(np.int64), doc[keep], place[keep], doc[first], place[first], is_first[keep])
 
-    own, parts = -1, []
-    for b in batches:
-        for bucket, loose, keys, docs, places in zip(*(c.to_pylist() for c in b.columns)):
-            if loose:
-                h, doc, place = _whole(keys, "<i8"), _whole(docs, "<i8"), _whole(places, "<u4").astype(np.int32)
-                yield pa.record_batch([pa.array(h), pa.array(doc), pa.array(place), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int32()), pa.array(np.zeros(len(h), bool))], names)
-                continue
-            if bucket != own and parts:
-                yield matched(own, parts)
-                parts = []
-            own = bucket
-            parts.append((_whole(keys, "<u4"), _whole(docs, "<i8"), _whole(places, "<u4")))
-    if parts:
-        yield matched(own, parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = -1, []
+        for b in batches:
+            for bucket, loose, keys, docs, places, others, other_places in zip(*(c.to_pylist() for c in b.columns)):
+                if loose:
+                    h, doc, place = _whole(keys, "<i8"), _whole(docs, "<i8"), _whole(places, "<u4").astype(np.int32)
+                    other = (None, None) if others is None else (_whole(others, "<i8"), _whole(other_places, "<u4").astype(np.int32))
+                    yield batch_of(h, doc, place, *(pa.nulls(len(h), pa.int64()) if x is None else x for x in other), np.zeros(len(h), bool))
+                    continue
+                if bucket != own and parts:
+                    yield matched(own, parts)
+                    parts = []
+                own = bucket
+                parts.append((_whole(keys, "<u4"), _whole(docs, "<i8"), _whole(places, "<u4")))
+        if parts:
+            yield matched(own, parts)
+
+    return run
+
+
+_held = _holder(False)
+
+
+def _by_bucket(dealt: DataFrame, near: bool = False) -> DataFrame:
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_holder(near)), _HELD)
 
 
 def _matches(dealt: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """``h, doc_id, p, other_id, o``: every occurrence of a shared key with the key's first one in another document; and
     the table that has to stay until these rows are read."""
-    held = stored(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_held), _HELD), name)
+    held = stored(_by_bucket(dealt), name)
     loose = held.where("other_id is null").select("h", "doc_id", "p").join(held.where("first").select("h", "other_id", "o"), "h")
     return held.where("other_id is not null").select("h", "doc_id", "p", "other_id", "o").unionByName(loose).where("doc_id <> other_id"), held
 
@@ -584,7 +624,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     ``doc_id, other_id, start, end, other_start, other_end, matched, passage_start, passage_end``: places are words of the
     whole text, ends excluded; the last two bound the merged passage, of ``LEAST_WORDS`` and more, that the part belongs
-    to.  ``docs`` is read twice.
+    to.  ``docs`` is read twice, and once for its size.
 
     Documents without words, with null text or without a repeated passage give no row, and an empty table gives none; rows
     without ``doc_id`` are left out; rows that share an id count as one document, whose rows are not compared with each
@@ -593,14 +633,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket holds the seeds of about so much text, and is taken by one task at a time
+    size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     matches, held = _matches(own.mapInArrow(lean(_seed_dealer(buckets)), _DEALT), "seeds")
     chains = _chained(matches, "chains", True)
     dropped(held)
     loose = chains.where("other_id is null").select("doc_id", "h", "d")
-    matches, held = _matches(loose.mapInArrow(lean(_key_dealer(buckets)), _DEALT), "keys")
-    again = _chained(matches, "chains", False)
-    dropped(held)
+    again = _chained(_by_bucket(loose.mapInArrow(lean(_key_dealer(buckets)), _DEALT), True), "chains", False)
     both = chains.where("other_id is not null").unionByName(again)
     parts = _aligned(both, own)
     dropped(chains, again)

@@ -8,8 +8,9 @@ store can hold it, and rows are read in parallel), and its payload is:
 
 The frequency table counts all ids of the segment and is shared by its blocks.  Each block codes ``BLOCK`` ids in ``LANES``
 interleaved lanes with 32-bit words, on its own: the block index has its size, its checksum and that of its ids, and the
-lanes' states and the word position every ``SECTION`` steps, so that sections of a block can be decoded apart.  Ids take two bytes, or four where the vocabulary is larger than 65,536; a segment
-may have up to ``2**BITS`` different ids.
+lanes' states and the word position every ``SECTION`` steps, so that sections of a block can be decoded apart.  Ids take two
+bytes, or four where the vocabulary is larger than 65,536.  Frequencies sum to ``2**BITS``, or to the power of two that is
+twice as many as a segment has different ids, if that is more; the sum itself tells which.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from findmark.llm.shared import lean, scratch_dir
 from findmark.llm.tokens import encoder
 
 MAGIC = b"FMRANS02"
-#: Bits of the frequencies' common total.
+#: Bits of the frequencies' common total, at least.
 BITS = 18
 LANES, BLOCK, SECTION, SEGMENT = 1024, 1 << 17, 64, 1 << 20
 _LOW = np.uint64(1 << 31)
@@ -38,14 +39,11 @@ FILE_SCHEMA = "shard int, segment int, first_id long, last_id long, n_docs int,
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their frequencies, at least one each, with a sum of 2**BITS."""
-    counts = np.bincount(ids)
-    symbols = np.flatnonzero(counts)
-    if len(symbols) > 1 << BITS:
-        raise ValueError(f"more than {1 << BITS} different ids in a segment")
-    n = counts[symbols]
-    f = np.maximum(1, n * (1 << BITS) // n.sum())
-    over = int(f.sum()) - (1 << BITS)
+    """Distinct ids and their frequencies, at least one each, with a sum of a power of two."""
+    symbols, n = np.unique(ids, return_counts=True)
+    total = max(1 << BITS, 1 << (2 * len(symbols) - 1).bit_length())
+    f = np.maximum(1, n * total // n.sum())
+    over = int(f.sum()) - total
     if over < 0:
         f[np.argmax(f)] -= over
     while over > 0:
@@ -65,6 +63,7 @@ class Table:
         self.rank = np.zeros(int(symbols.max(initial=0)) + 1, np.int32)
         self.rank[symbols] = np.arange(len(symbols))
         self.symbols, self.f, self.begin = symbols, f.astype(np.uint64), begin
+        self.bits = int(f.sum(dtype=np.int64)).bit_length() - 1
         self.at_slot = np.repeat(np.arange(len(symbols), dtype=np.int32), f)
 
 
@@ -72,7 +71,8 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     """One block: its words, with the lanes' states at each section's start."""
     r = table.rank[ids]
     f, begin = table.f[r], table.begin[r]
-    most = f << _U(63 - BITS)
+    bits = _U(table.bits)
+    most = f << (_U(63) - bits)
     x = np.full(LANES, _LOW, np.uint64)
     steps = -(-len(ids) // LANES)
     words, states = [], []
@@ -83,7 +83,7 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
         words.append(own[over].astype("<u4"))
         own = np.where(over, own >> _U(32), own)
         q = own // ft
-        x[: b - a] = (q << _U(BITS)) + (own - q * ft) + begin[a:b]
+        x[: b - a] = (q << bits) + (own - q * ft) + begin[a:b]
         if t % SECTION == 0:
             states.append(x.copy())
     words.reverse()
@@ -100,7 +100,7 @@ def decode_block(raw: bytes, table: Table, section: int | None = None) -> np.nda
     states = np.frombuffer(raw, "<u8", sections * LANES, 8 + 4 * sections).reshape(sections, LANES)
     words = np.frombuffer(raw, "<u4", offset=8 + 4 * sections + 8 * sections * LANES).astype(np.uint64)
     out = np.empty(n, np.int32)
-    mask = _U((1 << BITS) - 1)
+    bits, mask = _U(table.bits), _U((1 << table.bits) - 1)
     for s in range(sections) if section is None else [section]:
         x, w = states[s].astype(np.uint64), int(at[s])
         for t in range(s * SECTION, min((s + 1) * SECTION, -(-n // LANES))):
@@ -108,7 +108,7 @@ def decode_block(raw: bytes, table: Table, section: int | None = None) -> np.nda
             own = x[: b - a]
             slot = own & mask
             r = table.at_slot[slot]
-            own = table.f[r] * (own >> _U(BITS)) + slot - table.begin[r]
+            own = table.f[r] * (own >> bits) + slot - table.begin[r]
             need = np.flatnonzero(own < _LOW)
             own[need] = (own[need] << _U(32)) | words[w : w + len(need)]
             w += len(need)

@@ -63,6 +63,8 @@ def test_rans_round_trip_sections_and_checksum():
         step = rans_tokens.SECTION * rans_tokens.LANES
         for s in range(-(-min(n, rans_tokens.BLOCK) // step)):
             assert (rans_tokens.decode_block(block, table, s) == own[: rans_tokens.BLOCK][s * step : (s + 1) * step]).all()
+    many = np.append(np.arange(270_000, dtype="<u4"), rnd.integers(0, 300_000, 30_000).astype("<u4"))  # more ids than frequencies sum to
+    assert (rans_tokens.unpack_segment(rans_tokens.pack_segment(np.array([7]), np.array([300_000]), many))[2] == many).all()
     with pytest.raises(ValueError):
         rans_tokens.unpack_segment(raw[:-1] + bytes([raw[-1] ^ 1]))
 
@@ -348,6 +350,55 @@ def test_occurrences_are_matched_with_the_first():
     assert got == sorted(wanted)
 
 
+def test_occurrences_are_matched_with_those_before():
+    """Over one buffer each one has the first place in the next smaller document; over several each has one of a smaller one."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(16)
+    key, doc, place = passages._mixed(rnd.integers(1, 41, 600).astype(np.uint64)), rnd.integers(0, 30, 600), rnd.integers(0, 100, 600)
+    held = {}
+    for k, d, p in zip(key.tolist(), doc.tolist(), place.tolist()):
+        held.setdefault(k & 0xFFFFFFFF, {}).setdefault(d, []).append(p)
+    for step in (600, 100):
+        batches = [passages._dealt(key[i : i + step], doc[i : i + step], place[i : i + step], 7, True) for i in range(0, 600, step)]
+        rows = [r for b in passages._holder(True)(iter(pa.Table.from_batches(batches).sort_by("bucket").to_batches())) for r in b.to_pylist()]
+        got = {(r["h"] & 0xFFFFFFFF, r["doc_id"], r["p"]): (r["other_id"], r["o"]) for r in rows}
+        for k, by_doc in held.items():
+            for d, own in by_doc.items():
+                less = [x for x in by_doc if x < d]
+                for p in own:
+                    if step == 600:
+                        assert got.get((k, d, p)) == ((max(less), min(by_doc[max(less)])) if less else None)
+                    elif (k, d, p) in got:
+                        assert got[k, d, p][0] in less and got[k, d, p][1] in by_doc[got[k, d, p][0]]
+                if step == 100 and less:  # the document is bound to a smaller one by each key
+                    assert any((k, d, p) in got for p in own)
+
+
+def test_fuzzy_passages_behind_quotes(spark):
+    """Passages of which 10 to 20 per cent of the words change, whose words earlier documents quote piece by piece."""
+    rnd = random.Random(17)
+    make = lambda n: [f"w{rnd.randint(0, 20_000)}" for _ in range(n)]
+    docs, cells = [], {}
+    for size, share in ((50, 0.1), (60, 0.15), (60, 0.2), (80, 0.2)):
+        for quote in (0, 12, 18, 30, 45):
+            for _ in range(20):
+                own = make(size)
+                docs += [make(60) + own[a : a + quote] + make(60) for a in range(0, size, quote or size) if quote]
+                other = list(own)
+                for i in rnd.sample(range(1, size - 1), round(share * size)):
+                    other[i] = make(1)[0]
+                docs += [make(80) + own + make(80), make(80) + other + make(80)]
+                cells.setdefault((size, share, quote), []).append(len(docs) - 1)
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(6)).collect()
+    found = {r.doc_id for r in rows if r.passage_start < 105}
+    assert {r.doc_id for r in rows} <= {i - k for own in cells.values() for i in own for k in (0, 1)}  # quotes together may make the first one, too
+    by_kind = {}
+    for (size, share, quote), own in cells.items():
+        by_kind.setdefault((size, share, quote > 0), []).extend(i in found for i in own)
+    assert {k: sum(v) / len(v) for k, v in by_kind.items() if sum(v) < 0.9 * len(v)} == {}
+
+
 def test_outward_is_best():
     rnd = np.random.default_rng(13)
     a, b = [rnd.integers(0, 3, rnd.integers(0, 12)) for _ in range(200)], [rnd.integers(0, 3, rnd.integers(0, 9)) for _ in range(200)]
@@ -426,6 +477,14 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
+def test_parts_of_null_and_unknown_types(spark):
+    rows = [(1, 0, "user", [("text", "a", None, None, None, None, None), (None, "x", "r", None, None, None, None), ("video", None, "v.mp4", None, None, None, None), ("text", "b", None, None, None, None, None)])]
+    formatted = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>"))
+    told = formatted.first()
+    assert told.formatted == "<|turn|>user<|body|>a<|unknown:0|><|unknown:1|>b<|end|>" and told.attached_tokens == 0
+    assert [tuple(p) for p in chat_format.read_chats(formatted).first().turns[0].parts] == [("text", "a", None, None), (None, None, "r", 0), ("video", None, "v.mp4", 0), ("text", "b", None, None)]
+
+
 def test_parts_of_chats_round_trip(spark):
     rnd = random.Random(18)
     bits = ["<", "|", "<|", "||", "<||", "|>", "turn|>", "<|turn|>", "<|body|>", "<|end|>", "<|text|>", "text|>", "<|image:0|>", "image:1|>", "a", "\n", ""]
@@ -538,6 +597,12 @@ def test_language(spark, odd):
     assert langid.learn(odd.where("false")).predict("text") == ("und", 0.0)
 
 
+def test_a_language_whose_rows_share_an_id(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(n, "das haus und der garten", f"d{n}") for n in range(6) for _ in range(1500)]
+    profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert profiles.langs == ["d0", "d1", "d2", "d3", "d4", "d5", "en"]
+
+
 def test_distance_like_a_plain_loop(spark):
     rnd = random.Random(20)
     texts = [("en", "the cat and the dog sat there"), ("de", "der hund und die katze waren dort"), ("xx", "der cat sat")]
