@@ -90,13 +90,20 @@ def attribute_requests(chunks: DataFrame, system: str, indications: DataFrame |
 def call_judge(requests: DataFrame, judge: Callable[[list[dict]], str | tuple[str, dict]], keys: list[str], attempts: int = MOST_ATTEMPTS, tasks: int | None = None, retryable: tuple[type[BaseException], ...] = (Exception,), own_timeout: bool = False, threads: int = 1) -> DataFrame:
     """Replies of ``judge(messages)`` to ``requests(<keys>, messages)``: ``<keys>, reply, error, attempts, usage``.
 
-    The judge returns its text, or the text and a dict of the fields of ``USAGE``, which ``metrics.token_cost`` sums up.  A
+    The judge returns its text, or the text and a dict of the fields of ``USAGE``, which ``metrics.token_cost`` sums up; an
+    exception may carry such a dict as ``usage``.  The usage of a row is that of all its attempts, failed ones too.  A
     ``retryable`` exception or an empty reply is tried again; any other exception is not, and a ``TimeoutError`` is not
     where the judge has a timeout of its own (``own_timeout``).  What fails to the end is a row with its error.  A task has
     ``threads`` calls open at a time, so a slow one does not hold up the others.
     """
     kinds = dict(requests.dtypes)
 
+    def summed(usage: dict | None, more: dict | None) -> dict | None:
+        if not more:
+            return usage
+        counts = ("uncached_input", "cache_read", "cache_write", "output")
+        return {"model": more.get("model") or (usage or {}).get("model")} | {c: ((usage or {}).get(c) or 0) + (more.get(c) or 0) for c in counts}
+
     def one(messages) -> tuple:
         said, error, n, usage = None, None, 0, None
         while not said and n < attempts:
@@ -104,8 +111,10 @@ def call_judge(requests: DataFrame, judge: Callable[[list[dict]], str | tuple[st
             try:
                 said, error = judge([dict(m) if isinstance(m, dict) else m.asDict() for m in messages]), None
                 if isinstance(said, tuple):
-                    said, usage = said
+                    said, own = said
+                    usage = summed(usage, own)
             except Exception as e:  # a user's function may raise anything
+                usage = summed(usage, getattr(e, "usage", None))
                 said, error = None, f"{type(e).__name__}: {e}"
                 if not isinstance(e, retryable) or (own_timeout and isinstance(e, TimeoutError)):
                     break

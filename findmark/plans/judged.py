@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from findmark.functions import normalize as N
 from findmark.functions import rules as R
 from findmark.operators import judge as J
-from findmark.operators import links, matcher, scoring
+from findmark.operators import links, matcher, replies, runs, scoring
 from findmark.plans import core
 from findmark.plans import fixtures as X
 from findmark.plans.core import query
-from findmark.sources.scratch import stored
+from findmark.sources.scratch import new_path, stored
 
 _SYSTEM = "Read the report."
 
@@ -246,6 +246,66 @@ def audit_with_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core._rounded(whole.tiers)
 
 
+_SEEN = "struct<pred_findings:array<struct<finding_id:string>>,gt_findings:array<struct<finding_id:string>>>"
+
+
+def _stand_ins(log: replies.ReplyLog) -> runs.Judges:
+    """Models by rules: reports are their own findings, equal places match, no pair has a text error."""
+
+    def extract(requests: DataFrame, attempt: int) -> DataFrame:
+        return requests.select("series_uuid", "side", F.concat(F.lit('{"findings": '), F.element_at("messages", -1)["content"], F.lit("}")).alias("reply"))
+
+    def match(requests: DataFrame, attempt: int) -> DataFrame:
+        seen = F.from_json(F.element_at("messages", -1)["content"], _SEEN)
+        ids = lambda side: F.transform(seen[f"{side}_findings"], lambda f: f["finding_id"])
+        both = F.array_intersect(ids("pred"), ids("gt"))
+        reply = F.struct(F.transform(both, lambda i: F.struct(i.alias("pred_id"), i.alias("gt_id"))).alias("matches"), F.array_except(ids("pred"), both).alias("unmatched_pred"), F.array_except(ids("gt"), both).alias("unmatched_gt"))
+        return requests.select("series_uuid", F.to_json(reply).alias("reply"))
+
+    def attributes(requests: DataFrame, attempt: int) -> DataFrame:
+        none = F.array().cast("array<string>")
+        reply = F.struct(F.transform("asked", lambda a: F.struct(a["pair_id"].alias("pair_id"), none.alias("errors"))).alias("errors_per_pair"))
+        return requests.select("series_uuid", "chunk", "part", F.to_json(reply).alias("reply"))
+
+    return runs.Judges(log.asking("extraction", ["series_uuid", "side"], extract), log.asking("matching", ["series_uuid"], match), log.asking("scoring", ["series_uuid", "chunk", "part"], attributes))
+
+
+_PLACED = """placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_uuid, side ORDER BY pos) AS place FROM findings),
+met AS MATERIALIZED (SELECT p.series_uuid, p.text AS p_text, p.clinical_status AS p_clinical_status, CASE WHEN {changed} AND g.place = 1 THEN g.text || ' changed' ELSE g.text END AS g_text, g.clinical_status AS g_clinical_status
+  FROM placed p JOIN placed g ON p.series_uuid = g.series_uuid AND p.place = g.place WHERE p.side = 'pred' AND g.side = 'gt'),
+sized AS MATERIALIZED (SELECT series_uuid, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM findings GROUP BY 1)"""
+_FEW = "p.series_uuid::BIGINT % 50 = 0"
+_ASKED = """SELECT '{run}' AS run, {extraction} AS extraction_calls, {matching} AS matching_calls, {scoring} AS scoring_calls, (SELECT count(*) FROM sized) AS n_reports, (SELECT sum(least(np, ng))::BIGINT FROM sized) AS n_records, (SELECT sum(abs(np - ng))::BIGINT FROM sized) AS n_orphans"""
+_CALLS = {
+    "extraction": "(SELECT {n}count(*) FROM sized WHERE true{w})", "matching": "(SELECT count(*) FROM sized WHERE np > 0 AND ng > 0{w})",
+    "scoring": "(SELECT coalesce(sum(c), 0)::BIGINT FROM (SELECT ceil(count(*) / 10)::BIGINT AS c FROM met WHERE ({j}){w} GROUP BY series_uuid))",
+}
+
+
+@query(f""", {_PLACED.format(changed=_FEW)} {_ASKED.format(run="first", extraction=_CALLS["extraction"].format(n="2 * ", w=""), matching=_CALLS["matching"].format(w=""), scoring=_CALLS["scoring"].format(j=X.NEEDS_JUDGE.replace("g_text", "(CASE WHEN series_uuid::BIGINT % 50 = 0 THEN regexp_replace(g_text, ' changed$', '') ELSE g_text END)"), w=""))}
+  UNION ALL {_ASKED.format(run="second", extraction="0", matching="0", scoring="0")}
+  UNION ALL {_ASKED.format(run="changed", **{k: v.format(n="", j=X.NEEDS_JUDGE, w=" AND series_uuid::BIGINT % 50 = 0" + (" AND ng > 0" if k == "extraction" else "")) for k, v in _CALLS.items()})}""")
+def resumed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit from reports to the summary, once more over the same reports, and after a change of some: what each asks."""
+    found = X.both_sides(spark, sf_dir)
+    one = F.struct("pos", "text", "clinical_status", "clinical_significance", "laterality", "comparison", "measurements")
+    listed = found.groupBy("series_uuid", "side").agg(F.array_sort(F.collect_list(one)).alias("own"))
+    both = listed.select("series_uuid").distinct().select("series_uuid", F.explode(F.array(F.lit("gt"), F.lit("pred"))).alias("side"))
+    listed = stored(both.join(listed, ["series_uuid", "side"], "left").withColumn("own", F.coalesce("own", F.array().cast(listed.schema["own"].dataType))), "reports")
+    few = (F.col("series_uuid").cast("long") % 50 == 0) & (F.col("side") == "gt")
+    changed = F.transform("own", lambda f, i: F.when(few & (i == 0), f.withField("text", F.concat(f["text"], F.lit(" changed")))).otherwise(f))
+    report = lambda own: listed.select("series_uuid", "side", F.to_json(F.transform(own, lambda f: f.dropFields("pos"))).alias("text"))
+    root, out = new_path(spark, "audit"), []
+    for name, reports in (("first", report("own")), ("second", report("own")), ("changed", report(changed))):
+        log = replies.ReplyLog(spark, f"{root}/log", name, 2000)
+        done = runs.run(spark, f"{root}/store", reports, _stand_ins(log), log=log, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        calls = log.calls().agg(*(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("calls"))), F.lit(0)).alias(f"{s}_calls") for s in ("extraction", "matching", "scoring")))
+        count = lambda df, c: df.agg(F.count("*").alias(c))
+        row = calls.crossJoin(done.summary.select("metadata.n_reports")).crossJoin(count(done.records, "n_records")).crossJoin(count(done.orphans, "n_orphans"))
+        out.append(stored(row.select(F.lit(name).alias("run"), "*"), "calls"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(f"""SELECT p.series_uuid, p.pred_id, p.gt_id, (CASE WHEN {X.NEEDS_JUDGE} THEN {" + ".join(f"(k % {w.split()[2]} = 0)::INT" for w, _, _ in X.TEXT_ERRORS)} ELSE 0 END)::INT AS n FROM pairs p""")
 def scatter_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _judged(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from findmark import schema
 from findmark.operators import explore as E
 from findmark.operators import incremental as I
-from findmark.operators import links, metrics
+from findmark.operators import links, maintained, metrics, runs
 from findmark.plans import core
 from findmark.plans import fixtures as X
 from findmark.plans.core import query
@@ -78,32 +79,78 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return X.scored(spark, sf_dir)
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, orphans = _records(spark, sf_dir)
-    sub_r, sub_o = metrics.by_subset(records, orphans)
-    metadata = metrics.distinct_findings(records, orphans).crossJoin(X.series(spark, sf_dir).agg(F.count("*").alias("n_reports")))
-    return S.summary(metadata, metrics.tier_metrics(records, orphans), metrics.muc_counts(records, orphans), metrics.attribute_breakdown(records), metrics.tier_metrics(sub_r, sub_o, ["subset"]))
+#: Fields of a tier in the summary; those by report are in the tiers of the whole set alone.
+_TIER = (*metrics._FLAGS, "fn", "fp", "errors", "errors_per_finding", "recall", "precision")
+_BY_REPORT = ("errors_per_report", "fn_per_report", "fp_per_report")
+_SHARES = ("clean", "minor", "major", "evaluated", "clean_pct", "minor_pct", "major_pct")
 
 
-_SUMMARY_SQL = f"""{core._scope_sql()} SELECT (SELECT count(*) FROM series) AS n_reports, (SELECT COR FROM muc) AS cor, (SELECT errors FROM rated WHERE tier = 'significant') AS significant_errors, (SELECT round(recall, 6) FROM rated WHERE tier = 'all') AS recall, 10 AS n_dimensions, 4 AS n_subsets"""
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the derived set, of which every fiftieth series counts as failed in scoring, too."""
+    counts = stored(maintained.parts(*_records(spark, sf_dir)), "parts")
+    series = X.series(spark, sf_dir)
+    failures = series.where("CAST(series_uuid AS bigint) % 50 = 0").select(F.lit("scoring").alias("stage"), "series_uuid")
+    return runs.summary(maintained.totals((counts, 1)), series, failures, _token_cost(spark, sf_dir))
+
+
+def _values(summary: DataFrame) -> DataFrame:
+    """Every number of the summary: ``path, value``, to six places."""
+    tiers = summary.select(F.explode("tiers").alias("k", "v"))
+    subsets = summary.select(F.explode("subsets").alias("s", "x")).select(F.concat(F.lit("subsets."), "s", F.lit(".")).alias("s"), "x.*")
+    sub_tiers = subsets.select("s", F.explode("tiers").alias("k", "v"))
+    dims = summary.select(F.explode("attribute_breakdown").alias("k", "v"))
+    path = lambda *parts: F.concat(*(p if isinstance(p, str) else F.lit(p[0]) for p in parts))
+    blocks = (
+        (summary.select("metadata.*"), F.lit("metadata."), ("n_reports", "n_failed_reports", "total_gt_findings", "total_pred_findings", "token_cost"), ""),
+        (summary.select("metadata.token_usage.*"), F.lit("metadata.token_usage."), ("calls", "prompt_tokens", "completion_tokens"), ""),
+        (tiers, path(["tiers."], "k", ["."]), (*_TIER, *_BY_REPORT), "v."), (summary.select("muc_counts.*"), F.lit("muc_counts."), schema.OUTCOMES, ""), (dims, path(["attribute_breakdown."], "k", ["."]), _SHARES, "v."),
+        (subsets, path("s", ["muc_counts."]), schema.OUTCOMES, "muc_counts."), (sub_tiers, path("s", ["tiers."], "k", ["."]), _TIER, "v."),
+    )
+    rows = [df.select(F.explode(F.array(*(F.struct(F.concat(at, F.lit(c)).alias("path"), F.round(F.col(x + c).cast("double"), 6).alias("value")) for c in fields))).alias("r")).select("r.*") for df, at, fields, x in blocks]
+    return reduce(DataFrame.unionByName, rows).where("value is not null")
+
+
+def _unpivoted(path: str, fields: tuple[str, ...], rows: str) -> str:
+    """SQL of the same for ``rows``: the fields of each row under its path."""
+    quoted = ", ".join(f'"{c}"' for c in fields)
+    doubles = ", ".join(f'"{c}"::DOUBLE AS "{c}"' for c in fields)
+    return f"SELECT path || name AS path, round(value, 6) AS value FROM (UNPIVOT (SELECT {path} AS path, {doubles} FROM {rows}) ON {quoted} INTO NAME name VALUE value)"
+
+
+def _summary_sql() -> str:
+    whole = re.sub(r"\b(gt_out|pred_out|contra|events|counts|rated|best|muc)\b", r"\1_all", core._scope_sql())
+    by_report = ", ".join(f"{c.removesuffix('_per_report')} / (SELECT count(*) FROM series) AS {c}" for c in _BY_REPORT)
+    told = f"""(SELECT (SELECT count(*) FROM series) AS n_reports, (SELECT count(*) FROM series WHERE series_uuid::BIGINT % 50 = 0) AS n_failed_reports, (SELECT count(DISTINCT (series_uuid, gt_id)) FROM records) + MIS AS total_gt_findings,
+      (SELECT count(DISTINCT (series_uuid, pred_id)) FROM records) + SPU AS total_pred_findings, (SELECT token_cost FROM tokens) AS token_cost FROM muc_all)"""
+    shares = "(SELECT *, clean / evaluated AS clean_pct, minor / evaluated AS minor_pct, major / evaluated AS major_pct FROM breakdown)"
+    blocks = (
+        ("'metadata.'", ("n_reports", "n_failed_reports", "total_gt_findings", "total_pred_findings", "token_cost"), told), ("'metadata.token_usage.'", ("calls", "prompt_tokens", "completion_tokens"), "tokens"),
+        ("'tiers.' || tier || '.'", (*_TIER, *_BY_REPORT), f"(SELECT *, {by_report} FROM rated_all)"), ("'muc_counts.'", schema.OUTCOMES, "muc_all"), ("'attribute_breakdown.' || dimension || '.'", _SHARES, shares),
+        ("'subsets.' || subset || '.muc_counts.'", schema.OUTCOMES, "muc"), ("'subsets.' || subset || '.tiers.' || tier || '.'", _TIER, "rated"),
+    )
+    return f"{core._scope_sql('subset')}{whole}, {core._BREAKDOWN_SQL}, tokens AS ({_TOKENS_SQL}) " + " UNION ALL ".join(_unpivoted(*b) for b in blocks)
+
+
+_TOKENS_SQL = """SELECT count(*) AS calls, sum(a + b + c)::BIGINT AS prompt_tokens, sum(d)::BIGINT AS completion_tokens, round(sum(CASE m WHEN 0 THEN a * 0.5 + b * 0.5 + c * 0.5 * 1.25 + d * 2.0 WHEN 1 THEN a * 5.0 + b * 0.5 + c * 5.0 * 1.25 + d * 25.0 ELSE 0 END) / 1e6, 4) AS token_cost
+  FROM (SELECT o % 3 AS m, k::BIGINT AS a, s::BIGINT AS b, n::BIGINT AS c, (k % 100)::BIGINT AS d FROM base)"""
+_PRICES = (("small", 0.5, 2.0, None), ("large", 5.0, 25.0, 0.5))
 
 
-def _read_summary(df: DataFrame) -> DataFrame:
-    get = lambda p, t: F.get_json_object("summary", p).cast(t)
-    keys = lambda p: F.size(F.json_object_keys(F.get_json_object("summary", p)))
-    return df.select(get("$.metadata.n_reports", "long").alias("n_reports"), get("$.muc_counts.COR", "long").alias("cor"), get("$.tiers.significant.errors", "long").alias("significant_errors"), F.round(get("$.tiers.all.recall", "double"), 6).alias("recall"), keys("$.attribute_breakdown").alias("n_dimensions"), keys("$.subsets").alias("n_subsets"))
+def _token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = X.base(spark, sf_dir).selectExpr("CASE o % 3 WHEN 0 THEN ' Small' WHEN 1 THEN 'large' ELSE 'free' END AS model", "k AS uncached_input", "s AS cache_read", "CAST(n AS bigint) AS cache_write", "k % 100 AS output")
+    return metrics.token_cost(usage, spark.createDataFrame(list(_PRICES), "model string, input double, output double, cached_input double"))
 
 
-@query(_SUMMARY_SQL)
+@query(_summary_sql())
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_summary(_summary(spark, sf_dir))
+    return _values(_summary(spark, sf_dir))
 
 
-@query(_SUMMARY_SQL)
+@query(_summary_sql())
 def write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "summary")
-    _summary(spark, sf_dir).write.text(path)
-    return _read_summary(spark.read.text(path).withColumnRenamed("value", "summary"))
+    path, summary = new_path(spark, "summary"), _summary(spark, sf_dir)
+    S.write_summary(summary, path)
+    return _values(S.read_summary(spark, path, summary.schema))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +215,9 @@ def indication_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.indication_stats(rows)
 
 
-_PRICES = (("small", 0.5, 2.0, None), ("large", 5.0, 25.0, 0.5))
-
-
-@query("""SELECT count(*) AS calls, sum(a + b + c)::BIGINT AS prompt_tokens, sum(d)::BIGINT AS completion_tokens, round(sum(CASE m WHEN 0 THEN a * 0.5 + b * 0.5 + c * 0.5 * 1.25 + d * 2.0 WHEN 1 THEN a * 5.0 + b * 0.5 + c * 5.0 * 1.25 + d * 25.0 ELSE 0 END) / 1e6, 4) AS token_cost
-  FROM (SELECT o % 3 AS m, k::BIGINT AS a, s::BIGINT AS b, n::BIGINT AS c, (k % 100)::BIGINT AS d FROM base)""")
+@query(_TOKENS_SQL)
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage = X.base(spark, sf_dir).selectExpr("CASE o % 3 WHEN 0 THEN ' Small' WHEN 1 THEN 'large' ELSE 'free' END AS model", "k AS uncached_input", "s AS cache_read", "CAST(n AS bigint) AS cache_write", "k % 100 AS output")
-    return metrics.token_cost(usage, spark.createDataFrame(list(_PRICES), "model string, input double, output double, cached_input double"))
+    return _token_cost(spark, sf_dir)
 
 
 @query("SELECT (SELECT count(*) FROM series) AS expected, (SELECT count(DISTINCT series_uuid) FROM matches) AS scored, (SELECT count(*) FROM series WHERE series_uuid::BIGINT % 50 = 0) AS failed_in_scoring, (SELECT count(*) FROM series) - (SELECT count(DISTINCT series_uuid) FROM matches) AS missing, greatest(0, (SELECT count(*) FROM series) - (SELECT count(DISTINCT series_uuid) FROM matches) - (SELECT count(*) FROM series WHERE series_uuid::BIGINT % 50 = 0)) AS dropped_earlier")
