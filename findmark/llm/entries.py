@@ -61,8 +61,9 @@ def op8_term_at_a_time_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.weighted(_table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "topic", "tokens", F.round("probability", 4).alias("probability"), (mixing.chance("row.doc_id") < F.col("probability")).alias("sampled"))
+    out = mixing.weighted(_table(spark, sf_dir, "documents"), budget=mixing.BUDGET, most_rounds=mixing.STATED_ROUNDS, close=None)
+    sampled = mixing.chance(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))) < F.col("probability")
+    return out.select("row.doc_id", "topic", "tokens", F.round("probability", 4).alias("probability"), sampled.alias("sampled"))
 
 
 def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +121,5 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 10""",
-        "op9_raked_mixture": mixing.oracle_sql(mixing.ROUNDS),
+        "op9_raked_mixture": mixing.oracle_sql(mixing.STATED_ROUNDS, mixing.BUDGET),
     }

@@ -564,6 +564,23 @@ def test_a_tiny_cell_does_not_set_the_size_of_the_mixture(spark):
         assert shares["a"] / shares["b"] == pytest.approx((own["a"] / own["b"]) ** mixing.TEMPER, rel=1e-2)
 
 
+def test_budget_is_filled_alike_by_order_and_by_rounds(spark):
+    """The factor from sums in order, from rounds over the rows, and by halving."""
+    rnd = random.Random(19)
+    for budget in (0.1, 0.5, 0.999, 1.0):
+        own = [rnd.random() for _ in range(40)] + [0.2, 0.2]
+        wish = [rnd.choice([0.0, rnd.random(), rnd.random() ** 4]) for _ in range(40)] + [0.1, 0.1]
+        own = [x / sum(own) for x in own]
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(x, w * mid) for x, w in zip(own, wish)) < budget else (low, mid)
+        df = spark.createDataFrame(list(zip(range(42), own, wish)), "i int, own double, wish double")
+        for few in (True, False):
+            got = [r.x for r in mixing._filled(df.coalesce(1), "own", "wish", budget, few, "x").orderBy("i").collect()]
+            assert got == pytest.approx([min(x, w * high) for x, w in zip(own, wish)], abs=1e-9)
+
+
 def test_many_cells_are_raked_like_few(spark, monkeypatch):
     rnd = random.Random(22)
     rows = [(i, "word " * rnd.randint(1, 9), rnd.choice(["en", "fr", None]), rnd.choice("abc")) for i in range(600)]
