@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from findmark import schema
 from findmark.functions.normalize import lookup
 
-#: Assignments that are tried one by one; longer lists are aligned in sorted order.
+#: Assignments up to which the first of the best index tuples is found; longer lists are aligned in sorted order.
 MOST_ASSIGNMENTS = 40_320
 
 
-def error(dimension: str, severity: Column | str, p: Column, g: Column, reasoning: str, inc: bool = False) -> Column:
+def error(dimension: str, severity: Column | str, p: Column, g: Column, reasoning: Column | str, inc: bool = False) -> Column:
     severity = F.lit(severity) if isinstance(severity, str) else severity
+    reasoning = F.lit(reasoning) if isinstance(reasoning, str) else reasoning
     return F.struct(
         F.lit(dimension).alias("dimension"), severity.alias("severity"), p.cast("string").alias("pred_value"), g.cast("string").alias("gt_value"),
-        F.lit(reasoning).alias("reasoning"), F.lit(inc).alias("triggers_inc"),
+        reasoning.alias("reasoning"), F.lit(inc).alias("triggers_inc"),
     )
 
 
@@ -93,15 +94,24 @@ def align_categories(p: Column, g: Column) -> Column:
 
 def assignment(short: Column, long: Column) -> Column:
     """``struct<cost, idx>``: where each value of ``short`` goes in ``long`` (as long or longer) at the least total distance;
-    ties by the first index tuple.  Every assignment is built, one short value after another."""
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("idx")))
+    ties by the first index tuple.
+
+    A programme over the subsets of ``long``: value after value, the best tuple of each set of places that are taken goes on,
+    so there are never more states than subsets, whatever the number of assignments.
+    """
+    start = F.array(F.struct(F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("idx")))
+    places = F.sequence(F.lit(0), F.size(long) - 1)
 
     def grow(states: Column, value: Column) -> Column:
-        free = lambda st: F.filter(F.sequence(F.lit(0), F.size(long) - 1), lambda j: ~F.array_contains(st["idx"], j))
-        step = lambda st: F.transform(free(st), lambda j: F.struct((st["cost"] + F.abs(value - F.element_at(long, j + 1))).alias("cost"), F.concat(st["idx"], F.array(j)).alias("idx")))
-        return F.flatten(F.transform(states, step))
+        bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+        free = lambda st: F.filter(places, lambda j: st["taken"].bitwiseAND(bit(j)) == 0)
+        step = lambda st: F.transform(free(st), lambda j: F.struct(st["taken"].bitwiseOR(bit(j)).alias("taken"), (st["cost"] + F.abs(value - F.element_at(long, j + 1))).alias("cost"), F.concat(st["idx"], F.array(j)).alias("idx")))
+        # in order of the taken places, then of cost and tuple: the first of each set stays
+        new = F.array_sort(F.flatten(F.transform(states, step)))
+        return _with(new, lambda all_: F.filter(all_, lambda st, i: (i == 0) | (st["taken"] != F.get(all_, i - 1)["taken"])))
 
-    return F.array_min(F.aggregate(short, start, grow))
+    last = F.aggregate(short, start, grow)
+    return F.array_min(F.transform(last, lambda st: F.struct(st["cost"].alias("cost"), st["idx"].alias("idx"))))
 
 
 def sorted_assignment(short: Column, long: Column) -> Column:
@@ -124,7 +134,7 @@ def sorted_assignment(short: Column, long: Column) -> Column:
 
 
 def best_assignment(short: Column, long: Column) -> Column:
-    """By trying all, or in sorted order where that would be more than ``MOST_ASSIGNMENTS``."""
+    """With the first of the best tuples, or in sorted order where there are more than ``MOST_ASSIGNMENTS``."""
     n, k = F.size(long), F.size(short)
     ways = F.aggregate(F.when(k > 0, F.sequence(n - k + 1, n)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda a, x: F.least(a * x, F.lit(1e12)))
     return F.when(k == 0, F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("idx"))).when(ways <= MOST_ASSIGNMENTS, assignment(short, long)).otherwise(sorted_assignment(short, long))
@@ -158,24 +168,32 @@ def measurement_errors(p: Column, g: Column, size_elsewhere: Column, comparators
     no_error = F.array().cast(f"array<{schema.ERROR}>")
     omitted = lambda m, why: error("measurement", "minor", F.lit(None).cast("string"), F.to_json(m), why)
 
-    def of_category(p: Column, c: str) -> Column:
+    def of_category(p: Column, c: Column) -> Column:
+        """The errors of one category; the expression is the same for all of them."""
         own = lambda a: F.filter(a, lambda m: m["category"] == c)
+        lacking_why = F.concat(c, F.lit(" is left out"))
 
         def both(t: Column) -> Column:
             def graded(s: Column) -> Column:
-                severity = lambda x: comparators[c](x["p"], x["g"])
-                wrong = F.filter(s["pairs"], lambda x: severity(x).isNotNull())
+                def severity(x: Column) -> Column:
+                    out = F.lit(None).cast("string")
+                    for name, compare in comparators.items():
+                        out = F.when(c == name, compare(x["p"], x["g"])).otherwise(out)
+                    return out
+
+                rated = F.transform(s["pairs"], lambda x: F.struct(x["p"].alias("p"), x["g"].alias("g"), severity(x).alias("severity")))
                 return F.concat(
-                    F.transform(wrong, lambda x: error("measurement", severity(x), F.to_json(x["p"]), F.to_json(x["g"]), f"{c} differs")),
-                    F.transform(s["extra"], lambda m: omitted(m, f"one more {c} is left out")),
+                    F.transform(F.filter(rated, lambda x: x["severity"].isNotNull()), lambda x: error("measurement", x["severity"], F.to_json(x["p"]), F.to_json(x["g"]), F.concat(c, F.lit(" differs")))),
+                    F.transform(s["extra"], lambda m: omitted(m, F.concat(F.lit("one more "), lacking_why))),
                 )
 
-            lacking = F.when(size_elsewhere & F.lit(c == "size"), no_error).otherwise(F.transform(t["g"], lambda m: omitted(m, f"{c} is left out")))
+            lacking = F.when(size_elsewhere & (c == "size"), no_error).otherwise(F.transform(t["g"], lambda m: omitted(m, lacking_why)))
             return F.when(F.size(t["g"]) == 0, no_error).when(F.size(t["p"]) == 0, lacking).otherwise(_with(paired(t["p"], t["g"]), graded))
 
         return _with(F.struct(own(p).alias("p"), own(g).alias("g")), both)
 
-    whole = _with(align_categories(p, g), lambda a: F.concat(*(of_category(a, c) for c in schema.CATEGORY)))
+    categories = F.array(*map(F.lit, schema.CATEGORY))
+    whole = _with(align_categories(p, g), lambda a: F.flatten(F.transform(categories, lambda c: of_category(a, c))))
     return F.when(F.size(g) == 0, no_error).otherwise(whole)
 
 

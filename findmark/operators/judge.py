@@ -142,18 +142,27 @@ def recorded_replies(requests: DataFrame, replies: DataFrame, keys: list[str]) -
 
 
 def _kind(v: Column) -> Column:
+    """The type of a scalar; that of a list or an object would go through all of it."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def _list(v: Column | str, path: str = "$") -> Column:
+    """The items of a list, null for anything else."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def parse_findings(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``replies(series_uuid, side, reply)`` to findings, and to failures for bad JSON or a missing list of findings."""
-    parsed = replies.withColumn("v", F.try_parse_json("reply")).withColumn("list", F.try_variant_get("v", "$.findings", "variant"))
-    good = _kind(F.col("list")) == "ARRAY"
-    failures = parsed.where(~F.coalesce(good, F.lit(False))).select("series_uuid", "side", F.when(F.col("v").isNull(), "not JSON").otherwise("no list of findings").alias("reason"), F.col("reply").alias("raw_response"))
-    slots = parsed.where(good).select("series_uuid", "side", F.posexplode(F.col("list").cast("array<variant>")).alias("pos", "f")).where(_kind(F.col("f")) == "OBJECT")
+    parsed = replies.withColumn("v", F.try_parse_json("reply")).withColumn("list", _list("v", "$.findings"))
+    good = F.col("list").isNotNull()
+    failures = parsed.where(~good).select("series_uuid", "side", F.when(F.col("v").isNull(), "not JSON").otherwise("no list of findings").alias("reason"), F.col("reply").alias("raw_response"))
+    slots = parsed.where(good).select("series_uuid", "side", F.posexplode("list").alias("pos", "f")).where(_is_object(F.col("f")))
     get = lambda c: F.try_variant_get("f", f"$.{c}", "string")
-    measured = F.try_variant_get("f", "$.measurements", "variant")
-    items = F.when(_kind(measured) == "ARRAY", measured.cast("array<variant>"))
+    items = _list("f", "$.measurements")
     findings = slots.select(
         "series_uuid", "side", "pos", N.finding_id("series_uuid", "pos").alias("finding_id"), F.coalesce(get("text"), F.lit("")).alias("text"),
         N.status(get("clinical_status")).alias("clinical_status"), N.significance(get("clinical_significance")).alias("clinical_significance"),
@@ -174,20 +183,21 @@ def validate_matching(replies: DataFrame) -> DataFrame:
     rows = replies.withColumn("v", F.try_parse_json("reply"))
     bad_lists = []
     for key in ("matches", "unmatched_pred", "unmatched_gt"):
-        x = F.try_variant_get("v", f"$.{key}", "variant")
-        is_list = _kind(x) == "ARRAY"
-        rows = rows.withColumn(key, F.when(is_list, x.cast("array<variant>")).otherwise(none))
-        bad_lists.append(F.when(x.isNotNull() & ~is_list, F.lit(f"{key} must be a list")))
+        given, items = F.try_variant_get("v", f"$.{key}", "variant"), _list("v", f"$.{key}")
+        rows = rows.withColumn(key, F.coalesce(items, none))
+        bad_lists.append(F.when(given.isNotNull() & items.isNull(), F.lit(f"{key} must be a list")))
     text = lambda x, path="$": F.when(_kind(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
-    rows = rows.withColumn("pairs", F.transform(F.filter("matches", lambda m: _kind(m) == "OBJECT"), lambda m: F.struct(text(m, "$.pred_id").alias("pred_id"), text(m, "$.gt_id").alias("gt_id"), F.coalesce(text(m, "$.reasoning"), F.lit("")).alias("reasoning"))))
+    rows = rows.withColumn("pairs", F.transform(F.filter("matches", _is_object), lambda m: F.struct(text(m, "$.pred_id").alias("pred_id"), text(m, "$.gt_id").alias("gt_id"), F.coalesce(text(m, "$.reasoning"), F.lit("")).alias("reasoning"))))
     say = lambda array, what: F.transform(array, lambda x: F.concat(F.lit(what), F.coalesce(x.cast("string"), F.lit("?"))))
-    twice = lambda a: F.filter(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)) > 1)
+    # equal values lie side by side in order; names go in order of their first place
+    side_by_side = lambda a: F.element_at(F.transform(F.array(F.array_sort(a)), lambda t: F.filter(t, lambda x, i: (i > 0) & (x == F.get(t, i - 1)))), 1)
+    twice = lambda a: F.array_intersect(F.array_distinct(a), side_by_side(a))
     full = F.transform(F.filter("pairs", lambda m: m["pred_id"].isNotNull() & m["gt_id"].isNotNull()), lambda m: F.concat_ws(" - ", m["pred_id"], m["gt_id"]))
     errors = [
         F.array_compact(F.array(*bad_lists)),
-        say(F.filter("matches", lambda m: _kind(m) != "OBJECT"), "not an object in matches: "),
+        say(F.filter("matches", lambda m: ~_is_object(m)), "not an object in matches: "),
         F.flatten(F.transform("pairs", lambda m: F.array_compact(F.array(F.when(m["pred_id"].isNull(), "a pred_id is not a string"), F.when(m["gt_id"].isNull(), "a gt_id is not a string"))))),
-        F.flatten(F.transform(twice(full), lambda x: F.array_repeat(F.concat(F.lit("repeated pair: "), x), 1))),
+        say(twice(full), "repeated pair: "),
     ]
     for side in ("pred", "gt"):
         rows = rows.withColumn(f"free_{side}", F.transform(f"unmatched_{side}", lambda x: text(x))).withColumn(f"in_{side}", F.array_compact(F.array_distinct(F.transform("pairs", lambda m: m[f"{side}_id"]))))
@@ -200,7 +210,7 @@ def validate_matching(replies: DataFrame) -> DataFrame:
             say(F.array_except(named, ids), f"unknown {side} id: "),
             say(F.array_except(ids, named), f"missing {side} id: "),
         ]
-    is_object = F.coalesce(_kind(F.col("v")) == "OBJECT", F.lit(False))
+    is_object = _is_object(F.col("v"))
     return rows.withColumn("errors", F.when(is_object, F.concat(*errors)).otherwise(F.array(F.lit("the answer is not a JSON object")))).select("series_uuid", "reply", "pred_ids", "gt_ids", "pairs", F.array_compact("free_pred").alias("unmatched_pred"), F.array_compact("free_gt").alias("unmatched_gt"), is_object.alias("parsed"), "errors")
 
 
@@ -264,14 +274,12 @@ def parse_attribute_replies(replies: DataFrame) -> DataFrame:
     each, with lists of errors.
     """
     rows = replies.withColumn("v", F.try_parse_json("reply"))
-    x = F.try_variant_get("v", "$.errors_per_pair", "variant")
-    rows = rows.withColumn("items", F.when(_kind(x) == "ARRAY", x.cast("array<variant>")))
-    sub = lambda i, c: F.try_variant_get(i, f"$.{c}", "variant")
-    shaped = F.forall("items", lambda i: F.coalesce((_kind(i) == "OBJECT") & (_kind(sub(i, "pair_id")) == "BIGINT") & (_kind(sub(i, "errors")) == "ARRAY"), F.lit(False)))
+    rows = rows.withColumn("items", _list("v", "$.errors_per_pair"))
+    shaped = F.forall("items", lambda i: F.coalesce(_is_object(i) & (_kind(F.try_variant_get(i, "$.pair_id", "variant")) == "BIGINT") & _list(i, "$.errors").isNotNull(), F.lit(False)))
     ids = F.sort_array(F.transform("items", lambda i: F.try_variant_get(i, "$.pair_id", "int")))
     wanted = F.when(F.col("n_pairs") > 0, F.sequence(F.lit(1), F.col("n_pairs").cast("int"))).otherwise(F.array().cast("array<int>"))
     get = lambda e, c: F.try_variant_get(e, f"$.{c}", "string")
-    errors = lambda i: N.judge_errors(F.transform(F.filter(sub(i, "errors").cast("array<variant>"), lambda e: _kind(e) == "OBJECT"), lambda e: F.struct(get(e, "dimension").alias("dimension"), get(e, "severity").alias("severity"), get(e, "reasoning").alias("reasoning"))))
+    errors = lambda i: N.judge_errors(F.transform(F.filter(_list(i, "$.errors"), _is_object), lambda e: F.struct(get(e, "dimension").alias("dimension"), get(e, "severity").alias("severity"), get(e, "reasoning").alias("reasoning"))))
     rows = rows.withColumn("ok", F.coalesce(shaped & (ids == wanted), F.lit(False)))
     answers = F.when(F.col("ok"), F.transform("items", lambda i: F.struct(F.try_variant_get(i, "$.pair_id", "int").alias("pair_id"), errors(i).alias("errors"))))
     return rows.withColumn("answers", answers).drop("v", "items")

@@ -71,6 +71,16 @@ def test_assignment_matches_brute_force(spark):
         assert (r.x.cost, tuple(r.x.idx)) == best and r.s == best[0]
 
 
+def test_assignment_of_eight_to_eight_with_ties(spark):
+    """All 40,320 tuples against the programme over subsets."""
+    rnd = random.Random(3)
+    cases = [([float(rnd.randint(0, 3)) for _ in range(k)], [float(rnd.randint(0, 3)) for _ in range(n)]) for k, n in ((8, 8), (8, 8), (5, 8), (2, 8), (1, 1))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<double>, b array<double>")
+    for r in df.select("i", C.best_assignment(F.col("a"), F.col("b")).alias("x")).collect():
+        a, b = cases[r.i]
+        assert (r.x.cost, tuple(r.x.idx)) == min((sum(abs(x - b[j]) for x, j in zip(a, p)), p) for p in permutations(range(len(b)), len(a)))
+
+
 @pytest.mark.parametrize(
     ("category", "p", "g", "wanted"),
     [

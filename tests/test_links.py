@@ -71,3 +71,21 @@ def test_calls_by_rule(spark):
     usage = judge.call_judge(df, model, ["k"], retryable=(OSError,)).where("usage is not null").select("usage.*")
     prices = spark.createDataFrame([("m", 1e6, 2e6, None)], "model string, input double, output double, cached_input double")
     assert metrics.token_cost(usage, prices).first().token_cost == 5.0
+
+
+def test_matching_reply_of_many_links(spark):
+    """20,000 links, two of them repeated, one id twice in a list, an unknown id and lists of other types."""
+    import json
+
+    n = 20_000
+    ids = [f"i{i}" for i in range(n)]
+    links_ = [{"pred_id": i, "gt_id": i} for i in ids[:-1]] + [{"pred_id": "i7", "gt_id": "i7"}, {"pred_id": "i3", "gt_id": "i3"}]
+    rows = [
+        ("a", json.dumps({"matches": links_, "unmatched_pred": [ids[-1]], "unmatched_gt": [ids[-1], ids[-1], "ghost"]}), ids, ids),
+        ("b", json.dumps({"matches": None, "unmatched_pred": {"x": 1}, "unmatched_gt": [7, "u"]}), ["u"], ["u"]),
+        ("c", json.dumps({"matches": [3, {"pred_id": 5, "gt_id": "u"}], "unmatched_pred": ["u"], "unmatched_gt": []}), ["u"], ["u"]),
+    ]
+    got = {r.series_uuid: r.errors for r in judge.validate_matching(spark.createDataFrame(rows, "series_uuid string, reply string, pred_ids array<string>, gt_ids array<string>")).collect()}
+    assert got["a"] == ["repeated pair: i3 - i3", "repeated pair: i7 - i7", f"twice in unmatched_gt: {ids[-1]}", "unknown gt id: ghost"]
+    assert got["b"] == ["matches must be a list", "unmatched_pred must be a list", "missing pred id: u", "an id in unmatched_gt is not a string"]
+    assert got["c"] == ["not an object in matches: 3", "a pred_id is not a string"]
