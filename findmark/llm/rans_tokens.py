@@ -40,7 +40,9 @@ FILE_SCHEMA = "shard int, segment int, first_id long, last_id long, n_docs int,
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their frequencies, at least one each, with a sum of a power of two."""
-    symbols, n = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    n = counts[symbols]
     total = max(1 << BITS, 1 << (2 * len(symbols) - 1).bit_length())
     f = np.maximum(1, n * total // n.sum())
     over = int(f.sum()) - total
