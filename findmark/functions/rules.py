@@ -53,18 +53,41 @@ def change(text: Column | str) -> Column:
     )
 
 
+_N, _U = r"\d+(?:\.\d+)?", r"(?:mm|cm|ml|hounsfield units|hu|%)(?![a-z0-9])"
+#: Words that begin a value of an earlier study, that make a length a distance, and things that are counted.
+_EARLIER = "previously|formerly"
+_APART = "above|below|from|proximal|distal|superior|inferior|anterior|posterior"
+_COUNTED = "nodes|nodules|cysts|lesions|masses|stones|calculi|fractures|aneurysms|metastases|foci|polyps|opacities|effusions"
+_SCORES = "suv(?: ?max)?|agatston score"
+#: Mentions of numbers: earlier ones, changes, products and ranges with a unit, scores, and counted things.
+_MENTION = (
+    rf"(?:{_EARLIER})[a-z ]{{0,12}}{_N}(?:\s*(?:{_U})?\s*(?:x|by|-|to)\s*{_N})*\s*{_U}"
+    rf"|from {_N}\s*(?:{_U})?\s*to {_N}\s*{_U}"
+    rf"|(?<![a-z0-9.]){_N}\s*(?:(?:{_U})?\s*(?:x|by|-|to)\s*{_N}\s*)*{_U}(?:\s+(?:{_APART})\b)?"
+    rf"|(?:{_SCORES})(?: of)?\s+{_N}"
+    rf"|(?<![a-z0-9.]){_N} (?:[a-z]+ ){{0,2}}(?:{_COUNTED})\b"
+)
+
+
 def numbers(text: Column | str) -> Column:
-    """Numbers with a unit as measurements, in order: lengths and volumes, attenuation, percentages."""
-    text = F.lower(text)
-    found = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?\s*(?:mm|cm|ml|hounsfield units|hu|%))(?![a-z0-9])"), 1)
+    """Current numbers as measurements, in order.
 
-    def read(m: Column) -> Column:
-        value, name = F.regexp_extract(m, r"^(\d+(?:\.\d+)?)", 1).cast("double"), F.trim(F.regexp_replace(m, r"^[\d.]+\s*", ""))
-        unit = F.when(name == "%", "pct").when(name == "hounsfield units", "hu").otherwise(name)
-        category = F.when(unit == "pct", "ratio").when(unit == "hu", "attenuation").otherwise("size")
-        return F.struct(value.alias("value"), unit.alias("unit"), category.alias("category"))
+    Lengths and volumes are sizes, each number of a product or a range for itself; a length that tells where something lies is
+    of category other, and so are scores.  Of a change from one value to another the second counts, values of an earlier study
+    do not.  Hounsfield units are attenuations, percentages ratios, and a number before a thing that is counted is a count.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(_MENTION), F.lit(0))
 
-    return F.transform(found, read)
+    def read(m: Column) -> Column:
+        name = F.regexp_extract(m, rf"({_U})[a-z ]*$", 1)
+        unit = F.when(name == "%", "pct").when(name == "hounsfield units", "hu").when(name != "", name)
+        apart = m.rlike(rf"^({_SCORES})") | m.rlike(rf"({_APART})$")
+        category = F.when(apart, "other").when(unit == "pct", "ratio").when(unit == "hu", "attenuation").when(unit.isNull(), "count").otherwise("size")
+        values = F.regexp_extract_all(m, F.lit(_N), F.lit(0))
+        values = F.when(m.rlike(rf"^({_EARLIER})"), F.slice(values, 1, 0)).when(m.startswith("from "), F.slice(values, -1, 1)).otherwise(values)
+        return F.transform(values, lambda v: F.struct(v.cast("double").alias("value"), unit.alias("unit"), category.alias("category")))
+
+    return F.flatten(F.transform(found, read))
 
 
 def certainty_rank(text: Column | str) -> Column:

@@ -321,7 +321,7 @@ _SENTENCES = {
     "certainty": "CASE ({x}) % 6 WHEN 0 THEN 'edema' WHEN 1 THEN 'probable edema' WHEN 2 THEN 'possible edema' WHEN 3 THEN 'less likely edema' WHEN 4 THEN 'no definite edema' ELSE 'no edema' END",
     "findings": "'FINDINGS: Left cyst of 5 mm. No effusion of ' || CAST(k AS string) || '.' || chr(10) || 'IMPRESSION: Possible new mass'",
     "report": "CASE WHEN k % 4 = 0 THEN 'INDICATION: pain  in ' || name || chr(10) ELSE '' END || 'FINDINGS: Left cyst of 5 mm. No effusion of ' || name || '.' || chr(10) || 'IMPRESSION: Possible new mass'",
-    "numbers": "'A ' || CAST(k % 50 AS string) || ' mm cyst, ' || CAST(s % 90 AS string) || '% stenosis and ' || CAST(s % 40 AS string) || '.5 Hounsfield units in 3 places'",
+    "numbers": "CASE k % 4 WHEN 0 THEN 'A ' || CAST(k % 50 AS string) || ' mm cyst, ' || CAST(s % 90 AS string) || '% stenosis and ' || CAST(s % 40 AS string) || '.5 Hounsfield units in 3 places' WHEN 1 THEN 'Mass of ' || CAST(k % 50 AS string) || ' x ' || CAST(s % 90 AS string) || '.5 cm, formerly 7 cm' WHEN 2 THEN 'Decreased from 8 mm to ' || CAST(k % 50 AS string) || ' mm, SUV max ' || CAST(s % 40 AS string) || '.5' ELSE CAST(k % 50 AS string) || ' enlarged lymph nodes, aneurysm ' || CAST(s % 90 AS string) || ' cm above the bifurcation' END",
 }
 
 
@@ -351,7 +351,11 @@ def comparison_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir, text=_SENTENCES["change"]).select("series_uuid", "pos", R.change("text").alias("comparison"))
 
 
-@query("SELECT o::VARCHAR AS series_uuid, n AS pos, unnest([0, 1, 2])::INT AS i, unnest([(k % 50)::DOUBLE, (s % 90)::DOUBLE, (s % 40) + 0.5]) AS value, unnest(['mm', 'pct', 'hu']) AS unit, unnest(['size', 'ratio', 'attenuation']) AS category FROM base")
+@query("""SELECT series_uuid, pos, (i - 1)::INT AS i, m[i].value AS value, m[i].unit AS unit, m[i].category AS category FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT o::VARCHAR AS series_uuid, n AS pos, CASE k % 4
+  WHEN 0 THEN [{'value': (k % 50)::DOUBLE, 'unit': 'mm', 'category': 'size'}, {'value': (s % 90)::DOUBLE, 'unit': 'pct', 'category': 'ratio'}, {'value': (s % 40) + 0.5::DOUBLE, 'unit': 'hu', 'category': 'attenuation'}]
+  WHEN 1 THEN [{'value': (k % 50)::DOUBLE, 'unit': 'cm', 'category': 'size'}, {'value': (s % 90) + 0.5::DOUBLE, 'unit': 'cm', 'category': 'size'}]
+  WHEN 2 THEN [{'value': (k % 50)::DOUBLE, 'unit': 'mm', 'category': 'size'}, {'value': (s % 40) + 0.5::DOUBLE, 'unit': NULL, 'category': 'other'}]
+  ELSE [{'value': (k % 50)::DOUBLE, 'unit': NULL, 'category': 'count'}, {'value': (s % 90)::DOUBLE, 'unit': 'cm', 'category': 'other'}] END AS m FROM base))""")
 def measurement_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir, text=_SENTENCES["numbers"]).select("series_uuid", "pos", F.posexplode(R.numbers("text")).alias("i", "m")).select("series_uuid", "pos", "i", "m.value", "m.unit", "m.category")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findmark.functions import comparators as C
+from findmark.functions import rules as R
 from findmark.operators import metrics, scoring
 
 FIELDS = "series_uuid string, side string, finding_id string, text string, clinical_status string, clinical_significance string, laterality string, comparison string, measurements array<struct<value:double,unit:string,category:string>>"
@@ -93,3 +94,18 @@ def test_comparators(spark, category, p, g, wanted):
     m = "struct<value:double,unit:string,category:string>"
     df = spark.createDataFrame([((*p, category), (*g, category))], f"p {m}, g {m}")
     assert df.select(C.COMPARATORS[category](F.col("p"), F.col("g")).alias("s")).first()["s"] == wanted
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("2.3 cm cyst", [(2.3, "cm", "size")]), ("mass of 3.8 x 3.0 cm", [(3.8, "cm", "size"), (3.0, "cm", "size")]), ("3 x 4 x 5 mm node", [(3, "mm", "size"), (4, "mm", "size"), (5, "mm", "size")]),
+        ("3 mm x 4 mm", [(3, "mm", "size"), (4, "mm", "size")]), ("nodules of 3-4 mm", [(3, "mm", "size"), (4, "mm", "size")]), ("Decreased from 8 mm to 5 mm", [(5, "mm", "size")]), ("Sub-5 mm nodules", [(5, "mm", "size")]),
+        ("26 Hounsfield units", [(26, "hu", "attenuation")]), ("SUV max 4.2", [(4.2, None, "other")]), ("50% stenosis", [(50, "pct", "ratio")]), ("3 lymph nodes", [(3, None, "count")]), ("2 small calcified nodules", [(2, None, "count")]),
+        ("Agatston score 120", [(120, None, "other")]), ("Aneurysm 4 cm above the bifurcation", [(4, "cm", "other")]), ("now 6 mm, previously 9 mm", [(6, "mm", "size")]), ("formerly measured 2 x 3 cm", []),
+        ("seen in 3 places at T12 on 3.4.2020", []), ("", []), (None, None),
+    ],
+)
+def test_numbers_of_a_text(spark, text, wanted):
+    found = spark.createDataFrame([(text,)], "t string").select(R.numbers("t").alias("m")).first().m
+    assert (found and [tuple(m) for m in found]) == wanted

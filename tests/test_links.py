@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from findmark.operators import judge, links, metrics
+from findmark.operators import judge, links, matcher, metrics
 
 
 def test_components_of_a_long_chain(spark):
@@ -89,3 +89,26 @@ def test_matching_reply_of_many_links(spark):
     assert got["a"] == ["repeated pair: i3 - i3", "repeated pair: i7 - i7", f"twice in unmatched_gt: {ids[-1]}", "unknown gt id: ghost"]
     assert got["b"] == ["matches must be a list", "unmatched_pred must be a list", "missing pred id: u", "an id in unmatched_gt is not a string"]
     assert got["c"] == ["not an object in matches: 3", "a pred_id is not a string"]
+
+
+def test_lexical_matches_by_rare_words_like_all_pairs(spark):
+    """Ties, repeated texts, sides, texts without words, at several thresholds."""
+    rnd = random.Random(4)
+    words = [f"w{min(int(rnd.expovariate(0.15)), 60)}" for _ in range(400)]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 5, 8, 12])))
+    rows = [(s, f"{i:03}", rnd.choice(["left", "right", None]), text()) for s in ("a", "b") for i in range(120)]
+    side = lambda: spark.createDataFrame([*rows[:40], *((s, i, x, text()) for s, i, x, _ in rows[40:])], "series_uuid string, finding_id string, laterality string, text string")
+    pred, gt = side(), side()
+    for least in (0.2, 0.3, 0.6, 1.0):
+        few, all_ = (sorted(map(tuple, matcher.lexical_matches(pred, gt, least, n).collect())) for n in (0, 10**9))
+        assert few == all_ and few
+    some = matcher.lexical_matches(pred, gt.where("series_uuid = 'a'"), 0.3, 20_000).collect()
+    assert {r.series_uuid for r in some} == {"a"}
+
+
+def test_lexical_matches_of_a_large_series(spark):
+    """20,000 findings a side of many different words: only findings that share a rare word meet."""
+    n = 20_000
+    df = spark.range(n).select(F.lit("s").alias("series_uuid"), F.col("id").cast("string").alias("finding_id"), F.lit(None).cast("string").alias("laterality"), F.concat(F.lit("cyst of the part"), F.col("id").cast("string"), F.lit(" near"), (F.col("id") % 500).cast("string")).alias("text"))
+    found = matcher.lexical_matches(df, df, 0.9).agg(F.count("*").alias("n"), F.count_if(F.col("pred_id") == F.col("gt_id")).alias("same")).first()
+    assert (found.n, found.same) == (n, n)
