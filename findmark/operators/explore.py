@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findmark import schema
 from findmark.functions import normalize as N
 from findmark.functions import outcomes as K
+from findmark.sources.scratch import stored
 
 
 def report_index(per_report: DataFrame, findings: DataFrame) -> DataFrame:
@@ -41,6 +42,53 @@ def search_text(findings: DataFrame, text: str) -> DataFrame:
     return rows.select("series_uuid").distinct()
 
 
+#: Rarest trigrams of a text that are looked up.
+MOST_GRAMS = 4
+#: Tables of a text index.
+_INDEX = {
+    "texts": "series_uuid string, side string, finding_id string, text string, bucket int",
+    "postings": "series_uuid string, side string, finding_id string, home int, gram string, bucket int", "grams": "gram string, at int, n bigint",
+}
+
+
+def _trigrams(text: Column | str) -> Column:
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def write_text_index(findings: DataFrame, path: str, buckets: int = 64) -> None:
+    """An index of the findings' lower-cased texts: the texts by series, postings by trigram, and how many each trigram has.
+
+    Postings of a trigram lie in one bucket, dealt over several files by series, so a frequent one is no task's alone.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    texts = findings.where("text is not null").select("series_uuid", "side", "finding_id", F.lower("text").alias("text"))
+    texts.withColumn("bucket", bucket("series_uuid")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
+    postings = texts.select("series_uuid", "side", "finding_id", bucket("series_uuid").alias("home"), F.explode(_trigrams("text")).alias("gram")).withColumn("bucket", bucket("gram"))
+    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("series_uuid"), F.lit(4))).sortWithinPartitions("bucket", "gram")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings.groupBy("gram", F.col("bucket").alias("at")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
+
+
+def search_index(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """``search_text`` over an index: only the buckets of the text's rarest trigrams are read, and the texts of the series that
+    have all of these.  A text of one or two characters has no trigram and is looked for in all texts."""
+    table = lambda name: spark.read.schema(_INDEX[name]).parquet(f"{path}/{name}")
+    wanted, texts = text.strip().lower(), table("texts")
+    grams = list({wanted[i : i + 3]: None for i in range(len(wanted) - 2)})
+    if not grams:
+        return search_text(texts, wanted)
+    found = table("grams").where(F.col("gram").isin(grams)).orderBy("n", "gram").collect()  # at most as many as the text has
+    if len(found) < len(grams):
+        return texts.select("series_uuid").where("false")
+    rarest = found[:MOST_GRAMS]
+    keys = ["series_uuid", "side", "finding_id"]
+    hits = table("postings").where(F.col("bucket").isin([r["at"] for r in rarest]) & F.col("gram").isin([r["gram"] for r in rarest]))
+    hits = stored(hits.groupBy("home", *keys).agg(F.count("*").alias("n")).where(F.col("n") >= len(rarest)), "hits")
+    homes = [r["home"] for r in hits.select("home").distinct().collect()]  # at most the index's buckets
+    return search_text(texts.where(F.col("bucket").isin(homes)).join(hits, keys, "left_semi"), wanted)
+
+
 def report_ids(*tables: DataFrame) -> DataFrame:
     out = tables[0].select("series_uuid")
     for t in tables[1:]:

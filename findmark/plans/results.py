@@ -305,6 +305,14 @@ def search_finding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.search_text(X.both_sides(spark, sf_dir), " POSSIBLE ")
 
 
+@query("SELECT DISTINCT series_uuid FROM findings WHERE contains(lower(text), 'possible')")
+def indexed_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a trigram index of all findings."""
+    path = new_path(spark, "text-index")
+    E.write_text_index(X.both_sides(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return E.search_index(spark, path, " POSSIBLE ")
+
+
 _SHOWN = """, shown AS (SELECT r.*, CASE WHEN inc_triggered OR coalesce(m, false) THEN 'INC' ELSE muc_category END AS shown FROM records r LEFT JOIN (SELECT series_uuid, pred_id, gt_id, bool_or(severity = 'major') AS m FROM all_errors GROUP BY 1, 2, 3) e USING (series_uuid, pred_id, gt_id)),
 idx AS (SELECT series_uuid, 'gt' AS side, gt_id AS finding_id, any_value(gt_sig) AS sig, CASE max(CASE shown WHEN 'COR' THEN 3 WHEN 'PAR' THEN 2 ELSE 1 END) WHEN 3 THEN 'COR' WHEN 2 THEN 'PAR' ELSE 'INC' END AS category, count(*)::INT AS n, list(pred_sig) AS others, list(pred_sig) FILTER (shown = 'INC') AS inc_others FROM shown GROUP BY series_uuid, gt_id
   UNION ALL SELECT series_uuid, 'pred', pred_id, any_value(pred_sig), CASE max(CASE shown WHEN 'COR' THEN 3 WHEN 'PAR' THEN 2 ELSE 1 END) WHEN 3 THEN 'COR' WHEN 2 THEN 'PAR' ELSE 'INC' END, count(*)::INT, list(gt_sig), list(gt_sig) FILTER (shown = 'INC') FROM shown GROUP BY series_uuid, pred_id

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from findmark.operators import judge, links, matcher, metrics
+from findmark.operators import explore, judge, links, matcher, metrics
 
 
 def test_components_of_a_long_chain(spark):
@@ -112,3 +112,29 @@ def test_lexical_matches_of_a_large_series(spark):
     df = spark.range(n).select(F.lit("s").alias("series_uuid"), F.col("id").cast("string").alias("finding_id"), F.lit(None).cast("string").alias("laterality"), F.concat(F.lit("cyst of the part"), F.col("id").cast("string"), F.lit(" near"), (F.col("id") % 500).cast("string")).alias("text"))
     found = matcher.lexical_matches(df, df, 0.9).agg(F.count("*").alias("n"), F.count_if(F.col("pred_id") == F.col("gt_id")).alias("same")).first()
     assert (found.n, found.same) == (n, n)
+
+
+def test_text_index_like_a_scan(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(f"s{i % 40}", rnd.choice(["gt", "pred"]), f"{i}", "".join(rnd.choice("abcÄ ") for _ in range(rnd.randint(0, 30))) if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_uuid string, side string, finding_id string, text string")
+    path = str(tmp_path / "index")
+    explore.write_text_index(df, path, 5)
+    found = lambda out: sorted(r.series_uuid for r in out.collect())
+    for text in ("", " ", "a", "ab", "abc", "Ä a", "c ab", "aaaaab", "zzz", "abz", "ä", " BC "):
+        assert found(explore.search_index(spark, path, text)) == found(explore.search_text(df.where("text is not null"), text)), text
+    explore.write_text_index(df.where("false"), path, 5)
+    assert found(explore.search_index(spark, path, "abc")) == []
+
+
+def test_text_index_reads_only_its_buckets(spark, tmp_path, capsys):
+    df = spark.range(2000).select(F.concat(F.lit("s"), F.col("id")).alias("series_uuid"), F.lit("gt").alias("side"), F.col("id").cast("string").alias("finding_id"), F.concat(F.lit("cyst number "), F.sha1(F.col("id").cast("string"))).alias("text"))
+    path = str(tmp_path / "index")
+    explore.write_text_index(df, path, 16)
+    wanted = df.where("series_uuid = 's77'").first().text[12:]
+    out = explore.search_index(spark, path, wanted)
+    assert [r.series_uuid for r in out.collect()] == ["s77"]
+    home = df.where("series_uuid = 's77'").select(F.pmod(F.xxhash64("series_uuid"), F.lit(16)).alias("b")).first().b
+    capsys.readouterr()
+    out.explain("formatted")
+    assert any("PartitionFilters" in line and f"= {home})" in line for line in capsys.readouterr().out.splitlines())

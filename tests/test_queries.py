@@ -47,4 +47,4 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
-    assert len(registry.queries()) == 118
+    assert len(registry.queries()) == 119
