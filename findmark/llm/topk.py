@@ -21,6 +21,7 @@ from findmark.llm.shared import stored
 
 #: Candidates and queries of a block; weights of the queries of a pass; candidates of a task at least.
 CANDIDATES, QUERIES, PASS, TASK = 1024, 1024, 1 << 20, 4096
+_MOST = (1 << 63) - 1
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -50,8 +51,16 @@ def _sparse(lists: pa.ListArray) -> Rows:
 
 
 def scores(n_queries: int, n: int, queries: Rows, candidates: Rows) -> np.ndarray:
-    """Inner products of all queries with all candidates, term after term."""
+    """Inner products of all queries with all candidates, term after term; what is beyond 2^63 - 1 in size becomes that."""
     (q_row, q_term, q_weight), (row, term, weight) = queries, candidates
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    if most(q_weight) * most(weight) * (int(term.max(initial=0)) + 1) > _MOST:  # sums of Python's whole numbers
+        out = np.zeros((n_queries, n), object)
+        for t in np.intersect1d(q_term, term):
+            own, found = (x[slice(*np.searchsorted(term, [t, t + 1]))] for x in (row, weight.astype(object)))
+            for q, w in zip(*(x[slice(*np.searchsorted(q_term, [t, t + 1]))].tolist() for x in (q_row, q_weight))):
+                out[q, own] += w * found
+        return np.clip(out, -_MOST, _MOST).astype(np.int64)
     out = np.zeros((n_queries, n), np.int64)
     for t in np.intersect1d(q_term, term):
         a, b = np.searchsorted(term, [t, t + 1])
@@ -130,7 +139,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     ``candidates(vec_id, weights)`` of another ``vec_id``; ties go to the smaller one.
 
     Missing terms weigh nothing.  Queries that share an id count once (the smallest weights); candidates that share one
-    each count.  Rows without id or weights take no part; no queries or no candidates give no row; other columns are not read.
+    each count.  Scores beyond 2^63 - 1 in size become that.  Rows without id or weights take no part; no queries or no candidates give no row; other columns are not read.
     Passes follow each other, each over all candidates, as the queries are more than a task's memory may hold.
     """
     spark = queries.sparkSession

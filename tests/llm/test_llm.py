@@ -458,6 +458,20 @@ def test_top_k_of_sparse_rows_in_many_parts_and_passes(spark, monkeypatch):
     assert got == sorted(wanted)
 
 
+def test_top_k_of_scores_beyond_longs(spark):
+    rnd = random.Random(20)
+    rows = [(i, [rnd.randint(-(1 << e), 1 << e) for e in (62, 40, 3)]) for i in range(60)] + [(90, [None, 5, -(1 << 62)]), (91, [1 << 62])]
+    df = spark.createDataFrame(rows, "vec_id long, weights array<long>")
+    got = {}
+    for r in topk.top_k(df.where("vec_id < 5 or vec_id > 80"), df, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, own in rows:
+        if q in got:
+            most = (1 << 63) - 1
+            dot = lambda w: max(-most, min(most, sum((a or 0) * (b or 0) for a, b in zip(own, w))))
+            assert got[q] == [(i, s) for s, i in sorted(((dot(w), i) for i, w in rows if i != q), key=lambda x: (-x[0], x[1]))[:4]]
+
+
 def test_chats_round_trip(spark):
     null = None
     part = lambda kind, text=null, ref=null, w=null, h=null, s=null, p=null: (kind, text, ref, w, h, s, p)
@@ -620,6 +634,16 @@ def test_a_language_whose_rows_share_an_id(spark):
     assert profiles.langs == ["d0", "d1", "d2", "d3", "d4", "d5", "en"]
 
 
+def test_empty_tables(spark, odd):
+    none = odd.where("false")
+    profiles = langid.learn(spark.createDataFrame([(1, "the house", "en")], "doc_id long, text string, lang string"))
+    assert langid.predict(none, profiles).count() == 0 and langid.keep_known(none, profiles).count() == 0 and langid.keep_known(none, profiles).columns == odd.columns
+    assert langid.learn(none).langs == [] and line_rules.remove_lines(none).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_gam.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert quality_gam.score(docs.where("false"), model).count() == 0
+
+
 def test_distance_like_a_plain_loop(spark):
     rnd = random.Random(20)
     texts = [("en", "the cat and the dog sat there"), ("de", "der hund und die katze waren dort"), ("xx", "der cat sat")]
