@@ -20,9 +20,9 @@ from findmark.sources.scratch import new_path, stored
 
 
 def _files(df: DataFrame, name: str) -> str:
-    """Writes ``df(series_uuid, value)`` as one text file per series; returns the folder."""
+    """Writes ``df(series_uuid, value)`` as packed text inputs; returns the folder."""
     path = new_path(df.sparkSession, name)
-    df.select("series_uuid", "value").repartition("series_uuid").write.partitionBy("series_uuid").text(path)
+    S.pack(df, path)
     return path
 
 
