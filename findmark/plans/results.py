@@ -154,7 +154,8 @@ def write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.report_index(core._per_report(spark, sf_dir), X.both_sides(spark, sf_dir))
+    found, records, orphans = X.audited(spark, sf_dir)
+    return E.report_index(core._by_report(records, orphans, X.series(spark, sf_dir)), found)
 
 
 _INDEX_SQL = f"""{core._scope_sql('series_uuid')}, report_index AS (SELECT s.series_uuid, {", ".join(f"coalesce(max(r.errors) FILTER (r.tier = '{t}'), 0) AS {t}_errors" for t in schema.TIERS)}, {", ".join(f"coalesce(any_value(m.{c}), 0) AS muc_{c}" for c in schema.OUTCOMES)},
@@ -327,15 +328,16 @@ def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_SHOWN} SELECT series_uuid, side, finding_id, category FROM (SELECT i.*, f.clinical_status, {X._subset_sql('f.')} AS subsets FROM idx i JOIN findings f USING (series_uuid, side, finding_id))
   WHERE list_contains(subsets, 'measurement') AND ((category = 'MIS' AND sig IN ('critical', 'urgent')) OR (category = 'SPU' AND sig IN ('critical', 'urgent') AND clinical_status <> 'normal') OR (len(inc_others) > 0 AND (sig IN ('critical', 'urgent') OR list_has_any(inc_others, ['critical', 'urgent']))))""")
 def filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = E.match_index(*_records(spark, sf_dir))
-    return E.filter_findings(index, X.both_sides(spark, sf_dir), "measurement", "triage").select("series_uuid", "side", "finding_id", "category")
+    found, records, orphans = X.audited(spark, sf_dir)
+    return E.filter_findings(E.match_index(records, orphans), found, "measurement", "triage").select("series_uuid", "side", "finding_id", "category")
 
 
 @query(f"""{_SHOWN} SELECT series_uuid, side, finding_id, CASE WHEN side = 'gt' AND ins THEN (category NOT IN ('COR', 'PAR'))::INT END AS fn, CASE WHEN side = 'gt' AND NOT ins THEN (category = 'INC' AND list_has_any(others, ['critical', 'urgent']))::INT WHEN side = 'pred' AND category = 'SPU' AND clinical_status <> 'normal' AND ins THEN 1 END AS fp,
   CASE WHEN side = 'gt' AND ins THEN (category IN ('COR', 'PAR'))::INT END AS recall_hit, CASE WHEN side = 'pred' AND ins AND NOT (category = 'SPU' AND clinical_status = 'normal') THEN (category IN ('COR', 'PAR'))::INT END AS precision_hit
   FROM (SELECT i.*, f.clinical_status, sig IN ('critical', 'urgent') AS ins FROM idx i JOIN findings f USING (series_uuid, side, finding_id))""")
 def finding_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.finding_impact(E.match_index(*_records(spark, sf_dir)), X.both_sides(spark, sf_dir), "triage")
+    found, records, orphans = X.audited(spark, sf_dir)
+    return E.finding_impact(E.match_index(records, orphans), found, "triage")
 
 
 @query(f""", {core._BREAKDOWN_SQL} SELECT series_uuid, pred_id, gt_id, dimension, CASE WHEN major THEN 'major' WHEN major IS NOT NULL THEN 'minor' ELSE 'clean' END AS severity
