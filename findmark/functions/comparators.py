@@ -157,7 +157,8 @@ def paired(p: Column, g: Column) -> Column:
         left = F.when(p_short, F.filter(g, lambda _, i: ~F.array_contains(b["idx"], i))).otherwise(F.filter(g, lambda _: F.lit(False)))
         return F.struct(pairs.alias("pairs"), left.alias("extra"))
 
-    return _with(best, sides)
+    one = F.struct(F.array(F.struct(F.element_at(p, 1).alias("p"), F.element_at(g, 1).alias("g"))).alias("pairs"), F.slice(g, 1, 0).alias("extra"))
+    return F.when((F.size(p) == 1) & (F.size(g) == 1), one).otherwise(_with(best, sides))
 
 
 def measurement_errors(p: Column, g: Column, size_elsewhere: Column, comparators: dict | None = None) -> Column:
@@ -192,7 +193,8 @@ def measurement_errors(p: Column, g: Column, size_elsewhere: Column, comparators
 
         return _with(F.struct(own(p).alias("p"), own(g).alias("g")), both)
 
-    categories = F.array(*map(F.lit, schema.CATEGORY))
+    # only categories that the reference has can have errors
+    categories = F.filter(F.array(*map(F.lit, schema.CATEGORY)), lambda c: F.exists(g, lambda m: m["category"] == c))
     whole = _with(align_categories(p, g), lambda a: F.flatten(F.transform(categories, lambda c: of_category(a, c))))
     return F.when(F.size(g) == 0, no_error).otherwise(whole)
 

@@ -55,8 +55,10 @@ def stale_ids(unmatched: DataFrame, findings: DataFrame) -> DataFrame:
 def size_given_elsewhere(pairs: DataFrame) -> DataFrame:
     """``pairs`` with whether another candidate of the same reference finding gives a size."""
     has = F.exists(F.coalesce("p_measurements", F.array().cast("array<struct<value:double,unit:string,category:string>>")), lambda m: m["category"] == "size")
-    givers = F.collect_set(F.when(has, F.col("pred_id"))).over(Window.partitionBy("series_uuid", "gt_id"))
-    return pairs.withColumn("size_elsewhere", F.size(F.array_except(givers, F.array("pred_id"))) > 0)
+    giver, own = F.when(has, F.col("pred_id")), Window.partitionBy("series_uuid", "gt_id")
+    # another one gives a size if the first or the last giver is another one: no row holds the list of all
+    other = lambda end: F.coalesce(end(giver).over(own) != F.col("pred_id"), F.lit(False))
+    return pairs.withColumn("size_elsewhere", other(F.min) | other(F.max))
 
 
 #: Links of a series up to which one task joins them; larger series go through rounds over the cluster.

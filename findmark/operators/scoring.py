@@ -26,9 +26,13 @@ def sides(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_pairs(findings: DataFrame, matches: DataFrame) -> DataFrame:
-    """Each link with its two findings, its component, the sides of its group and whether its size is given elsewhere."""
+    """Each link with its two findings, its component, the sides of its group, whether its size is given elsewhere and whether a
+    judge is needed for its texts."""
     pred, gt = sides(findings)
-    return links.group_sides(links.size_given_elsewhere(links.pair_findings(links.match_components(matches), pred, gt)))
+    pairs = links.pair_findings(links.match_components(matches), pred, gt)
+    # told before rows are sorted into groups, so that texts nobody reads afterwards are not sorted with them
+    pairs = pairs.withColumn("needs_judge", N.needs_judge("p_clinical_status", "g_clinical_status", "p_text", "g_text"))
+    return links.group_sides(links.size_given_elsewhere(pairs))
 
 
 def with_structured_errors(pairs: DataFrame) -> DataFrame:
@@ -37,7 +41,8 @@ def with_structured_errors(pairs: DataFrame) -> DataFrame:
     side = C.laterality_severity(c("p_laterality"), c("g_laterality"), c("p_group"), c("g_group"), c("p_clinical_significance"), c("g_clinical_significance"))
     measured = C.measurement_errors(c("p_measurements"), c("g_measurements"), c("size_elsewhere"))
     errors = C.structured_errors(c("p_clinical_status"), c("g_clinical_status"), side, c("p_laterality"), c("g_laterality"), c("p_comparison"), c("g_comparison"), measured)
-    return pairs.withColumn("structured_errors", errors).withColumn("needs_judge", N.needs_judge("p_clinical_status", "g_clinical_status", "p_text", "g_text"))
+    out = pairs.withColumn("structured_errors", errors)
+    return out if "needs_judge" in out.columns else out.withColumn("needs_judge", N.needs_judge("p_clinical_status", "g_clinical_status", "p_text", "g_text"))
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -54,8 +59,8 @@ def records(rows: DataFrame) -> DataFrame:
 
 def orphans(findings: DataFrame, matches: DataFrame) -> DataFrame:
     """Findings of both sides without a link, with their subsets."""
-    pred, gt = sides(findings)
-    return links.orphans(gt, matches, "gt").unionByName(links.orphans(pred, matches, "pred")).withColumn("subsets", N.subsets())
+    pred, gt = sides(findings.withColumn("subsets", N.subsets()))
+    return links.orphans(gt, matches, "gt").unionByName(links.orphans(pred, matches, "pred"))
 
 
 def score(findings: DataFrame, matches: DataFrame, ask: Callable[[DataFrame, int], DataFrame] | None = None, indications: DataFrame | None = None, system: str = "", retries: int = judge.MOST_RETRIES, chunk: int = judge.CHUNK) -> tuple[DataFrame, DataFrame]:
