@@ -46,47 +46,65 @@ def search_text(findings: DataFrame, text: str) -> DataFrame:
 MOST_GRAMS = 4
 #: Tables of a text index.
 _INDEX = {
-    "texts": "series_uuid string, side string, finding_id string, text string, bucket int",
-    "postings": "series_uuid string, side string, finding_id string, home int, gram string, bucket int", "grams": "gram string, at int, n bigint",
+    "texts": "text_id binary, text string, homes array<int>, bucket int", "series": "text_id binary, series_uuid string, bucket int",
+    "postings": "text_id binary, home int, gram string, bucket int", "grams": "gram string, at int, n bigint",
 }
 
 
+def _text_id(text: Column | str) -> Column:
+    """16 bytes of a text's SHA-256: findings of the same text share it."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _trigrams(text: Column | str) -> Column:
     n = F.length(text)
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
 def write_text_index(findings: DataFrame, path: str, buckets: int = 64) -> None:
-    """An index of the findings' lower-cased texts: the texts by series, postings by trigram, and how many each trigram has.
+    """An index of the findings' lower-cased texts: each different text once, with the buckets of its series; the texts of each
+    series; postings of the texts by trigram, and how many texts each trigram has.
 
-    Postings of a trigram lie in one bucket, dealt over several files by series, so a frequent one is no task's alone.
+    A text that many findings share moves once for each of its series, and its trigrams once.  Postings of a trigram lie in one
+    bucket, dealt over several files by texts, so a frequent one is no task's alone.
     """
+    spark = findings.sparkSession
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    texts = findings.where("text is not null").select("series_uuid", "side", "finding_id", F.lower("text").alias("text"))
-    texts.withColumn("bucket", bucket("series_uuid")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
-    postings = texts.select("series_uuid", "side", "finding_id", bucket("series_uuid").alias("home"), F.explode(_trigrams("text")).alias("gram")).withColumn("bucket", bucket("gram"))
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("series_uuid"), F.lit(4))).sortWithinPartitions("bucket", "gram")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows = findings.where("text is not null").select("series_uuid", F.lower("text").alias("text"))
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}")
+        return spark.read.schema(_INDEX[name]).parquet(f"{path}/{name}")
+
+    own = rows.select(_text_id("text").alias("text_id"), "series_uuid", bucket("series_uuid").alias("bucket"))
+    write(own.repartition("bucket").dropDuplicates(["bucket", "series_uuid", "text_id"]), "series")
+    places = rows.select("text", bucket("series_uuid").alias("home")).groupBy("text").agg(F.collect_set("home").alias("homes"))
+    texts = write(places.select(_text_id("text").alias("text_id"), "text", "homes").withColumn("bucket", bucket("text_id")).repartition("bucket"), "texts")
+    postings = texts.select("text_id", F.col("bucket").alias("home"), F.explode(_trigrams("text")).alias("gram")).withColumn("bucket", bucket("gram"))
+    postings = write(postings.repartition("bucket", F.pmod(F.xxhash64("text_id"), F.lit(4))).sortWithinPartitions("bucket", "gram"), "postings")
     postings.groupBy("gram", F.col("bucket").alias("at")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
 
 
 def search_index(spark: SparkSession, path: str, text: str) -> DataFrame:
-    """``search_text`` over an index: only the buckets of the text's rarest trigrams are read, and the texts of the series that
-    have all of these.  A text of one or two characters has no trigram and is looked for in all texts."""
+    """``search_text`` over an index: only the buckets of the text's rarest trigrams are read, then those of the texts that have
+    all of these, and of their series.  A text of one or two characters has no trigram and is looked for in all texts."""
     table = lambda name: spark.read.schema(_INDEX[name]).parquet(f"{path}/{name}")
-    wanted, texts = text.strip().lower(), table("texts")
+    wanted, texts, series = text.strip().lower(), table("texts"), table("series")
+    if not wanted:
+        return series.select("series_uuid").distinct()
     grams = list({wanted[i : i + 3]: None for i in range(len(wanted) - 2)})
-    if not grams:
-        return search_text(texts, wanted)
-    found = table("grams").where(F.col("gram").isin(grams)).orderBy("n", "gram").collect()  # at most as many as the text has
-    if len(found) < len(grams):
-        return texts.select("series_uuid").where("false")
-    rarest = found[:MOST_GRAMS]
-    keys = ["series_uuid", "side", "finding_id"]
-    hits = table("postings").where(F.col("bucket").isin([r["at"] for r in rarest]) & F.col("gram").isin([r["gram"] for r in rarest]))
-    hits = stored(hits.groupBy("home", *keys).agg(F.count("*").alias("n")).where(F.col("n") >= len(rarest)), "hits")
-    homes = [r["home"] for r in hits.select("home").distinct().collect()]  # at most the index's buckets
-    return search_text(texts.where(F.col("bucket").isin(homes)).join(hits, keys, "left_semi"), wanted)
+    if grams:
+        found = table("grams").where(F.col("gram").isin(grams)).orderBy("n", "gram").collect()  # at most as many as the text has
+        if len(found) < len(grams):
+            return series.select("series_uuid").where("false")
+        rarest = found[:MOST_GRAMS]
+        hits = table("postings").where(F.col("bucket").isin([r["at"] for r in rarest]) & F.col("gram").isin([r["gram"] for r in rarest]))
+        hits = stored(hits.groupBy("text_id", "home").agg(F.count("*").alias("n")).where(F.col("n") >= len(rarest)), "candidates")
+        homes = [r["home"] for r in hits.select("home").distinct().collect()]  # at most the index's buckets
+        texts = texts.where(F.col("bucket").isin(homes)).join(hits, "text_id", "left_semi")
+    hits = stored(texts.where(F.contains("text", F.lit(wanted))).select("text_id", "homes"), "hits")
+    homes = [r["home"] for r in hits.select(F.explode("homes").alias("home")).distinct().collect()]  # at most the index's buckets
+    return series.where(F.col("bucket").isin(homes)).join(hits, "text_id", "left_semi").select("series_uuid").distinct()
 
 
 def report_ids(*tables: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Steps of the audit whose rows and lists must not grow with the findings."""
 
 from findmark import schema
-from findmark.operators import links, metrics, scoring
+from findmark.operators import explore, links, metrics, scoring
 from findmark.plans import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,14 @@ def test_windows_and_anti_joins_sort_no_texts_or_measurements(spark):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert "p_text" not in rows[: rows.rindex("Window [")]
     assert "measurements" not in orphans[: orphans.index("Join LeftAnti")]
+
+
+def test_an_index_has_each_text_once(spark, tmp_path):
+    rows = [(f"s{i % 50}", "gt" if i % 2 else "pred", f"{i}", ("Cyst", "cyst", "effusion", None)[i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_uuid string, side string, finding_id string, text string")
+    path = str(tmp_path / "index")
+    explore.write_text_index(df, path, 4)
+    assert spark.read.parquet(f"{path}/postings").count() == 2 + 6  # trigrams of two different texts
+    for text in ("cyst", "FUS", "y", "", "cysts"):
+        found, scan = explore.search_index(spark, path, text), explore.search_text(df.where("text is not null"), text)
+        assert sorted(r.series_uuid for r in found.collect()) == sorted(r.series_uuid for r in scan.collect()), text
