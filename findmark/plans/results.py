@@ -337,7 +337,7 @@ def filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT i.*, f.clinical_status, sig IN ('critical', 'urgent') AS ins FROM idx i JOIN findings f USING (series_uuid, side, finding_id))""")
 def finding_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, records, orphans = X.audited(spark, sf_dir)
-    return E.finding_impact(E.match_index(records, orphans), found, "triage")
+    return E.finding_impact(E.match_index(records, orphans, found), None, "triage")
 
 
 @query(f""", {core._BREAKDOWN_SQL} SELECT series_uuid, pred_id, gt_id, dimension, CASE WHEN major THEN 'major' WHEN major IS NOT NULL THEN 'minor' ELSE 'clean' END AS severity

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from findmark.operators import links, metrics, scoring
+from findmark.operators import explore, links, metrics, scoring
 from findmark.plans import fixtures as X
+from findmark.plans import results
 from findmark.sources.scratch import stored_by_series
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,20 @@ def test_counts_by_series_move_once(steady):
     assert exchanges(metrics.gt_outcomes(records, ["series_uuid"])) == 0
 
 
+@pytest.mark.parametrize("name", ["finding_impact"])
+def test_findings_are_joined_in_place(steady, name):
+    assert exchanges(getattr(results, name)(steady, SF)) == 0
+
+
+def test_an_index_with_findings_gives_the_same(spark):
+    found, records, orphans = X.audited(spark, SF)
+    bare, full = explore.match_index(records, orphans), explore.match_index(records, orphans, found)
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert rows(explore.finding_impact(bare, found, "significant")) == rows(explore.finding_impact(full, None, "significant"))
+    for subset, tier in (("comparison", "critical"), (None, "all")):
+        assert rows(explore.filter_findings(bare, found, subset, tier)) == rows(explore.filter_findings(full, None, subset, tier))
+
+
 def test_kept_table_has_all_rows(spark):
     rows = spark.range(1000).select((F.col("id") % 17).cast("string").alias("series_uuid"), "id").union(spark.sql("SELECT CAST(NULL AS string), 1000L"))
     kept = stored_by_series(rows, "rows")
