@@ -329,7 +329,7 @@ def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE list_contains(subsets, 'measurement') AND ((category = 'MIS' AND sig IN ('critical', 'urgent')) OR (category = 'SPU' AND sig IN ('critical', 'urgent') AND clinical_status <> 'normal') OR (len(inc_others) > 0 AND (sig IN ('critical', 'urgent') OR list_has_any(inc_others, ['critical', 'urgent']))))""")
 def filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, records, orphans = X.audited(spark, sf_dir)
-    return E.filter_findings(E.match_index(records, orphans), found, "measurement", "triage").select("series_uuid", "side", "finding_id", "category")
+    return E.filter_findings(E.match_index(records, orphans, found), None, "measurement", "triage").select("series_uuid", "side", "finding_id", "category")
 
 
 @query(f"""{_SHOWN} SELECT series_uuid, side, finding_id, CASE WHEN side = 'gt' AND ins THEN (category NOT IN ('COR', 'PAR'))::INT END AS fn, CASE WHEN side = 'gt' AND NOT ins THEN (category = 'INC' AND list_has_any(others, ['critical', 'urgent']))::INT WHEN side = 'pred' AND category = 'SPU' AND clinical_status <> 'normal' AND ins THEN 1 END AS fp,

@@ -43,7 +43,7 @@ def test_counts_by_series_move_once(steady):
     assert exchanges(metrics.gt_outcomes(records, ["series_uuid"])) == 0
 
 
-@pytest.mark.parametrize("name", ["finding_impact"])
+@pytest.mark.parametrize("name", ["finding_impact", "filter_findings"])
 def test_findings_are_joined_in_place(steady, name):
     assert exchanges(getattr(results, name)(steady, SF)) == 0
 
