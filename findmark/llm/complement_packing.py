@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
                 columns = [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(zip(*rows))]
                 yield pa.record_batch(columns, [c.split()[0] for c in _PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(lean(run), _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(lean(run, keeps=True), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -127,24 +127,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             return out
 
         for batch in batches:
-            ids, ends = tokens.encode(batch.column(1))
-            begin = 0
-            for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist()):
-                own, total = ids[begin:end], end - begin
-                whole = total - total % capacity
-                for at in range(0, whole, capacity):
-                    add((doc_id, at, own[at : at + capacity], total), next_id, 0)
-                    next_id += 1
-                if whole < total:
-                    waiting[total - whole].append((doc_id, whole, own[whole:].copy(), total))
-                    n_waiting += 1
-                    if n_waiting >= WAITING:
-                        fill(False)
-                if len(rows) >= 20_000:
-                    yield batch_of()
-                begin = end
+            for first, ids, ends in tokens.slices(batch.column(1)):
+                begin = 0
+                for doc_id, end in zip(batch.column(0)[first : first + len(ends)].to_pylist(), ends.tolist()):
+                    own, total = ids[begin:end], end - begin
+                    whole = total - total % capacity
+                    for at in range(0, whole, capacity):
+                        add((doc_id, at, own[at : at + capacity], total), next_id, 0)
+                        next_id += 1
+                    if whole < total:
+                        waiting[total - whole].append((doc_id, whole, own[whole:].copy(), total))
+                        n_waiting += 1
+                        if n_waiting >= WAITING:
+                            fill(False)
+                    if len(rows) >= 20_000:
+                        yield batch_of()
+                    begin = end
         fill(True)
         if rows:
             yield batch_of()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(lean(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").mapInArrow(lean(run, keeps=True), SCHEMA)

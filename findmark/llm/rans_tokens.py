@@ -195,7 +195,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str | None = Non
             yield closed()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(lean(encode), FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    ranged.mapInArrow(lean(encode, keeps=True), FILE_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 

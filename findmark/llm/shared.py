@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import suppress
 from functools import wraps
 
@@ -13,7 +14,25 @@ from pyspark.sql import functions as F
 
 from findmark.sources.scratch import dropped, new_path, scratch_dir, stored
 
-__all__ = ["components", "dropped", "lean", "new_path", "scratch_dir", "stored"]
+__all__ = ["components", "dropped", "kept", "lean", "new_path", "scratch_dir", "stored"]
+
+#: What this worker keeps for later tasks that ask for the same.
+_kept: dict = {}
+
+
+def kept(name: Hashable, make: Callable):
+    """What ``make`` gave this worker for ``name``; it stays until a ``lean`` function that does not keep begins here."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Gives up all that ``kept`` holds."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        spare_memory()
 
 
 def spare_memory() -> None:
@@ -23,11 +42,16 @@ def spare_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives unused memory back when it ends: its Python worker lives on beside later tasks."""
+def lean(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives unused memory back when it ends: its Python worker lives on beside later tasks.
+
+    Without ``keeps`` it first gives up what earlier functions kept in this worker, so that they do not add up.
+    """
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:

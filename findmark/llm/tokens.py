@@ -17,11 +17,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from findmark.llm.shared import kept, spare_memory
+
 #: Distinct parts of texts kept in each of the two halves of a worker's cache.
 CACHE_PARTS = 250_000
 #: Bytes of text that are cut and looked up at once; a longer text is taken alone.
@@ -123,26 +126,34 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: ids (of ``kind``) of all texts one after another, and where each text's ids end; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        begin = np.flatnonzero(np.append(True, upto[1:] // SLICE != upto[:-1] // SLICE)) if len(texts) else np.zeros(0, np.int64)
         all_ids, all_ends, total = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], 0
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(texts)).tolist()):
-            ids, ends = self._encode(texts[a:b])
+        for _, ids, ends in self.slices(texts):
             all_ids.append(ids)
             all_ends.append(ends + total)
             total += len(ids)
         return np.concatenate(all_ids), np.concatenate(all_ends)
 
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(first, ids, ends)`` of slices of ``texts``, one after another: the number of a slice's first text, and as in ``encode``."""
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = np.flatnonzero(np.append(True, upto[1:] // SLICE != upto[:-1] // SLICE)) if len(texts) else np.zeros(0, np.int64)
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(texts)).tolist()):
+            yield a, *self._encode(pc.fill_null(texts[a:b].cast(pa.large_string()), ""))
+            spare_memory()
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for a slice without nulls."""
+        if self.words or self.cuts:
+            return self._joined(self._parts(texts))
+        own = [np.append(self._ids(t), np.array([self.end_id], self.kind)) for t in texts.to_pylist()]
+        return np.concatenate(own), np.cumsum([len(x) for x in own])
+
+    def _parts(self, texts: pa.Array) -> pa.Array:
+        """Lists of the parts of texts."""
         if self.words:
             apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), rf"([{_LETTERS}])([.,;:!?#*$%&|<>])", r"\1 \2")
             special = pc.match_substring(texts, "<|")  # the name of a special token may be in it
-            return self._joined(pc.split_pattern(pc.if_else(special, pc.replace_substring(texts, "\n", " "), apart), " "))
-        if not self.cuts:
-            own = [np.append(self._ids(t), np.array([self.end_id], self.kind)) for t in texts.to_pylist()]
-            return np.concatenate(own), np.cumsum([len(x) for x in own])
+            return pc.split_pattern(pc.if_else(special, pc.replace_substring(texts, "\n", " "), apart), " ")
         fast = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
         cuts = pc.split_pattern(pc.replace_substring_regex(fast, rf"([{_LETTERS}])([.,;:!?#*$%&|<>])", "\\1\x01\\2"), "\x01")
         slow = pc.or_(pc.match_substring_regex(texts, _SLOW), pc.match_substring_regex(texts, _RARE)).to_numpy(zero_copy_only=False)
@@ -150,30 +161,36 @@ class Encoder:
             own = [[c if i == 0 else f" {c}" for i, c in enumerate(_SINGLE_BLANK.split(t))] for t in texts.filter(pa.array(slow)).to_pylist()]
             both = pa.concat_arrays([cuts, pa.array(own, cuts.type)])
             cuts = both.take(pa.array(np.where(slow, np.cumsum(slow) - 1 + len(texts), np.arange(len(texts)))))
-        return self._joined(cuts)
+        return cuts
 
     def _joined(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are lists of parts, by the cache."""
         sizes = pc.list_value_length(cuts).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(cuts.flatten())
+        del cuts  # what is not needed any more goes at once: a slice takes many times its text
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        del coded
         self._learn(words)
         # a table of byte strings, the parts and then the end id; and each text's rows of it in order
         table = [*map(self.parts.__getitem__, words), np.array([self.end_id], self.kind).tobytes()]
         rows = np.insert(codes, np.cumsum(sizes), len(words))
+        del words, codes
         long = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
         begin = np.cumsum(long) - long
         flat, n = np.frombuffer(b"".join(table), self.kind), long[rows]
+        del table
         upto = np.cumsum(n)
-        ids = flat[np.repeat(begin[rows] - (upto - n), n) + np.arange(upto[-1])]
-        return ids, upto[np.cumsum(sizes + 1) - 1]
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
+        ends = upto[np.cumsum(sizes + 1) - 1]
+        first = begin[rows]
+        first -= upto
+        first += n
+        del rows, upto
+        at = np.repeat(first, n)
+        del first, n
+        at += np.arange(len(at))
+        return flat[at], ends
 
 
 def encoder(path: str, end_id: int = 0) -> Encoder:
-    """This worker's encoder; it outlives a task where Spark uses a worker again."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    """This worker's encoder; it outlives a task where Spark uses a worker again for such tasks."""
+    return kept(("encoder", path, end_id), lambda: Encoder(path, end_id))
